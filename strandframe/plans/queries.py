@@ -2,5 +2,396 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.functions import bits, quality, records, sequence
+from strandframe.operators import kmers as K
+from strandframe.plans._inputs import READS, reads, workspace
+from strandframe.plans.functions import register
+from strandframe.schema import COMPLEMENT_FROM, COMPLEMENT_TO
+from strandframe.sinks import fastx as sink
+from strandframe.sources import fastx as source
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str, name: str | None = None):
+    """Register a query beside the SQL that gives the same rows; ``r`` are the reads."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        ORACLE_SQL[key] = f"with r as ({READS})\n{sql}"
+        return f
+
+    return add
+
+
+def _rc(x: str) -> str:
+    return f"translate(reverse({x}), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}')"
+
+
+def _normal(x: str, iupac: bool) -> str:
+    codes = "BDHVRYSWKM" if iupac else ""
+    return rf"regexp_replace(translate({x}, 'acgtuU.~{codes.lower()} ' || chr(9) || chr(13) || chr(10), 'ACGTTT--{codes}'), '[^ACGTN{codes}-]', 'N', 'g')"
+
+
+def _windows(k: int, seq: str = "seq", more: str = "") -> str:
+    return f"select id, p, substr({seq}, p + 1, {k}) as w{more} from (select *, unnest(range(0, length({seq}) - {k} + 1)) as p from r)"
+
+
+_GOOD = "regexp_full_match(w, '[ACGTacgt]+')"
+
+
+def _code(x: str, k: int) -> str:
+    kind = "hugeint" if k > 31 else "bigint"
+    return "(" + " + ".join(f"(instr('ACGT', substr({x}, {i + 1}, 1)) - 1)::{kind} * {4 ** (k - 1 - i)}::{kind}" for i in range(k)) + ")"
+
+
+# -- counting ------------------------------------------------------------------
+
+
+@_query(f""", w as ({_windows(4, _normal('seq', False))}), k as (select least(w, {_rc('w')}) as kmer, not (w < {_rc('w')}) as was_rc from w where {_GOOD})
+select (select sum(length(seq))::bigint from r) as n_bases, count(*)::bigint as n_kmers, count(*) filter (kmer = 'AAAA')::bigint as n_aaaa, count(*) filter (was_rc)::bigint as n_rc from k""")
+def readme_aaaa(spark, d):
+    r = reads(spark, d).select("seq")
+    bases = r.agg(F.sum(records.num_bases("seq")).alias("n_bases"))
+    found = K.canonical_kmers(r.select(sequence.normalize("seq").alias("seq")), 4)
+    counts = found.agg(F.count("*").alias("n_kmers"), F.count_if(F.col("kmer") == "AAAA").alias("n_aaaa"), F.count_if("was_rc").alias("n_rc"))
+    return counts.select(bases.scalar().alias("n_bases"), "n_kmers", "n_aaaa", "n_rc")
+
+
+@_query(f", w as ({_windows(5)}) select least(w, {_rc('w')}) as kmer, count(*)::bigint as n from w where {_GOOD} group by 1")
+def kmer_count(spark, d):
+    return K.kmer_counts(K.canonical_kmers(reads(spark, d).select("seq"), 5))
+
+
+@_query(f", w as ({_windows(5)}) select least(w, {_rc('w')}) as kmer, count(*)::bigint as n from w where {_GOOD} group by 1 order by n desc, kmer limit 20")
+def kmer_topk(spark, d):
+    return K.kmer_counts(K.canonical_kmers(reads(spark, d).select("seq"), 5)).orderBy(F.desc("n"), "kmer").limit(20)
+
+
+_TOTALS = f", w as ({_windows(31, _normal('seq', True))}) select count(*)::bigint as n_kmers, count(*) filter (w < {_rc('w')})::bigint as n_forward from w where {_GOOD}"
+
+
+@_query(_TOTALS)
+def kmer_total_fwd(spark, d):
+    return K.kmer_totals(K.canonical_kmers(reads(spark, d).select(sequence.normalize("seq", True).alias("seq")), 31))
+
+
+@_query(_TOTALS)
+def bitkmer_total_fwd(spark, d):
+    return K.kmer_totals(K.bit_kmers(reads(spark, d).select(sequence.strip_returns("seq").alias("seq")), 31, canonical=True))
+
+
+# -- sequence functions --------------------------------------------------------
+
+
+@_query(f"select id, {_normal('messy', False)} as seq from r")
+def normalize_strict(spark, d):
+    return reads(spark, d).select("id", sequence.normalize("messy").alias("seq"))
+
+
+@_query(f"select id, {_normal('messy', True)} as seq from r")
+def normalize_iupac(spark, d):
+    return reads(spark, d).select("id", sequence.normalize("messy", iupac=True).alias("seq"))
+
+
+@_query(f"select count(*) filter ({_normal('messy', False)} <> messy)::bigint as n_strict, count(*) filter ({_normal('seq', True)} <> seq)::bigint as n_iupac from r")
+def normalize_changed_count(spark, d):
+    return reads(spark, d).agg(F.count_if(sequence.normalize_changed("messy")).alias("n_strict"), F.count_if(sequence.normalize_changed("seq", True)).alias("n_iupac"))
+
+
+@_query(f"select id, translate(messy, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as seq from r")
+def complement(spark, d):
+    return reads(spark, d).select("id", sequence.complement("messy").alias("seq"))
+
+
+@_query(f"select id, {_rc('messy')} as seq from r")
+def revcomp(spark, d):
+    return reads(spark, d).select("id", sequence.public_text(sequence.reverse_complement(sequence.byte_string("messy"))).alias("seq"))
+
+
+@_query(f"select id, least(seq, {_rc('seq')}) as seq from r")
+def canonical_seq(spark, d):
+    return reads(spark, d).select("id", sequence.canonical("seq").alias("seq"))
+
+
+@_query("select id, concat(substr(seq, 1, 20), substr(seq, 21)) as seq from r")
+def strip_returns(spark, d):
+    wrapped = F.concat(F.substring("seq", 1, 20), F.lit("\r\n"), F.substring("seq", 21, 64), F.lit("\n"))
+    return reads(spark, d).select("id", sequence.strip_returns(wrapped).alias("seq"))
+
+
+@_query(f", w as (select id, unnest([substr(seq, p, 6), substr({_rc('seq')}, p, 6)]) as w from r, unnest(range(1, 60)) as t(p)) select id, min(w) as minimizer from w group by id")
+def minimizer_m(spark, d):
+    return reads(spark, d).select("id", sequence.minimizer("seq", 6).alias("minimizer"))
+
+
+# -- k-mers ----------------------------------------------------------------------
+
+
+@_query(f", w as ({_windows(7)}) select id, p::int as pos, w as kmer from w")
+def kmers_k7(spark, d):
+    return K.kmers(reads(spark, d).select("id", "seq"), 7)
+
+
+def _canonical(k: int, seq: str) -> str:
+    return f", w as ({_windows(k, seq)}) select id, p::int as pos, least(w, {_rc('w')}) as kmer, not (w < {_rc('w')}) as was_rc from w where {_GOOD}"
+
+
+@_query(_canonical(4, "seq"))
+def canonical_kmers_k4(spark, d):
+    return K.canonical_kmers(reads(spark, d).select("id", "seq"), 4)
+
+
+@_query(_canonical(5, "messy"))
+def canonical_kmers_k5(spark, d):
+    return K.canonical_kmers(reads(spark, d).select("id", F.col("messy").alias("seq")), 5)
+
+
+@_query(f", w as ({_windows(6)}) select id, p::int as pos, {_code('w', 6)} as code, 6 as k, false as was_rc from w where {_GOOD}")
+def bitkmers_raw(spark, d):
+    return K.bit_kmers(reads(spark, d).select("id", "seq"), 6)
+
+
+@_query(f", w as ({_windows(4)}), c as (select id, p, {_code('w', 4)} as a, {_code(_rc('w'), 4)} as b from w where {_GOOD}) select id, p::int as pos, least(a, b) as code, 4 as k, a > b as was_rc from c")
+def bitkmers_canonical_k4(spark, d):
+    return K.bit_kmers(reads(spark, d).select("id", "seq"), 4, canonical=True)
+
+
+@_query(f", w as ({_windows(32)}) select id, p::int as pos, {_code('w', 32)}::varchar as code from w where {_GOOD}")
+def bitkmer_k32(spark, d):
+    return K.bit_kmers(reads(spark, d).select("id", "seq"), 32).select("id", "pos", F.col("code").cast("string").alias("code"))
+
+
+@_query(f"select id, {_code('substr(good, 1, 9)', 9)} as code, {_code(_rc('substr(good, 1, 9)'), 9)} as rc from r")
+def bit_revcomp(spark, d):
+    code = bits.encode(F.substring("good", 1, 9), 9)
+    return reads(spark, d).select("id", code.alias("code")).withColumn("rc", bits.bit_reverse_complement("code", 9))
+
+
+@_query("select id, substr(good, 1, 31) as kmer from r")
+def bit_to_bytes(spark, d):
+    return reads(spark, d).select("id", bits.encode(F.substring("good", 1, 31), 31).alias("code")).select("id", bits.decode("code", 31).alias("kmer"))
+
+
+_MIN = ", ".join(f"{_code(f'substr(good, {j}, 3)', 3)}, {_code(_rc(f'substr(good, {j}, 3)'), 3)} * 256 + 255" for j in range(1, 6))
+_TRUE_MIN = ", ".join(f"{_code(f'substr(good, {j}, 3)', 3)}, {_code(_rc(f'substr(good, {j}, 3)'), 3)}" for j in range(1, 6))
+
+
+@_query(f"select id, least({_MIN})::bigint as minimizer, least({_TRUE_MIN})::bigint as window_minimizer from r")
+def bit_minimizer(spark, d):
+    r = reads(spark, d).select("id", bits.encode(F.substring("good", 1, 7), 7).alias("code"))
+    return r.select("id", bits.bit_minimizer("code", 7, 3).alias("minimizer"), bits.window_minimizer("code", 7, 3).alias("window_minimizer"))
+
+
+# -- quality ---------------------------------------------------------------------
+
+
+def _mean(c: str, offset: int) -> str:
+    return f"select id, sum(ascii(substr({c}, p, 1)) - {offset})::bigint as total, count(*)::bigint as n from r, unnest(range(1, 65)) as t(p) group by id"
+
+
+@_query(_mean("qual", 33))
+def phred33_sum(spark, d):
+    q = quality.decode_phred("qual")
+    return reads(spark, d).select("id", q.alias("q")).select("id", F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.size("q").cast("bigint").alias("n"))
+
+
+@_query("select id, array_to_string(list_transform(range(1, 65), lambda p: (ascii(substr(translate(qual, '!#%5:?', '@BCDEF'), p, 1)) - 64)::varchar), ' ') as scores from r")
+def phred64_decode(spark, d):
+    moved = F.translate("qual", "!#%5:?", "@BCDEF")
+    return reads(spark, d).select("id", F.array_join(quality.decode_phred(moved, "phred64").cast("array<string>"), " ").alias("scores"))
+
+
+@_query("select count(*) filter (not regexp_matches(qual, '[!#%5:?]'))::bigint as n_valid, count(*)::bigint as n from r")
+def phred_invalid(spark, d):
+    return reads(spark, d).agg(F.count(quality.try_decode_phred("qual", "phred64")).alias("n_valid"), F.count("*").alias("n"))
+
+
+@_query("select id, array_to_string(list_transform(range(1, 51), lambda p: case when ascii(substr(qual, p, 1)) < 53 then 'N' else substr(seq, p, 1) end), '') as seq from r")
+def quality_mask(spark, d):
+    return reads(spark, d).select("id", quality.quality_mask(F.substring("seq", 1, 50), "qual", "5").alias("seq"))
+
+
+# -- records -----------------------------------------------------------------------
+
+
+@_query(r"select id, regexp_extract(name, '^([^ \t]*)', 1) as name, case when regexp_matches(name, '[ \t]') then regexp_replace(name, '^[^ \t]*[ \t]+', '') end as description from r")
+def record_name_desc(spark, d):
+    return reads(spark, d).select("id", records.name("name").alias("name"), records.description("name").alias("description"))
+
+
+@_query("select count(*) filter (id % 2 = 0)::bigint as n_fasta, count(*) filter (id % 2 <> 0)::bigint as n_fastq from r")
+def is_fasta_fastq(spark, d):
+    q = F.when(F.col("id") % 2 != 0, F.col("qual"))
+    return reads(spark, d).select(q.alias("q")).agg(F.count_if(records.is_fasta("q")).alias("n_fasta"), F.count_if(records.is_fastq("q")).alias("n_fastq"))
+
+
+@_query(", t as (select substr(seq, 1, 2) as id, substr(seq, 3, 2) as seq, case when id % 2 = 0 then substr(qual, 1, 1) end as qual from r) select id, seq, qual, count(*)::bigint as n from t group by all")
+def record_eq_dedup(spark, d):
+    r = reads(spark, d).select(F.substring("seq", 1, 2).alias("i"), F.substring("seq", 3, 2).alias("s"), F.when(F.col("id") % 2 == 0, F.substring("qual", 1, 1)).alias("qual"))
+    counted = r.select(F.col("i").alias("id"), F.col("s").alias("seq"), "qual").groupBy("id", "seq", "qual").agg(F.count("*").alias("n"))
+    twin = counted.alias("a").join(counted.alias("b"), (F.col("a.id") == F.col("b.id")) & records.equal("a", "b"))
+    return twin.select("a.id", "a.seq", "a.qual", "b.n")
+
+
+@_query(f"select id, length({_normal('messy', False)})::bigint as n_bases, strlen(name)::bigint as n_bytes from r")
+def record_len(spark, d):
+    r = reads(spark, d).select("id", "name", F.col("messy").alias("seq"))
+    return records.normalized(r).select("id", records.num_bases("seq").alias("n_bases"), records.byte_length("name").alias("n_bytes"))
+
+
+@_query("select id, case when contains(name, chr(9)) then replace(name, chr(9), '|') end as masked from r")
+def mask_tabs(spark, d):
+    return reads(spark, d).select("id", records.mask_header_tabs("name").alias("masked"))
+
+
+@_query("select id, concat('>', name, chr(10), seq, chr(10)) as fasta, concat('@', name, chr(10), seq, chr(10), '+', chr(10), qual, chr(10)) as fastq from r")
+def record_str(spark, d):
+    return reads(spark, d).select("id", records.record_text("name", "seq", F.lit(None).cast("string")).alias("fasta"), records.record_text("name", "seq", "qual").alias("fastq"))
+
+
+@_query(r"""select id, concat('Record(id=', regexp_extract(name, '^([^ \t]*)', 1), case when regexp_matches(name, '[ \t]') then '…' else '' end, ', seq=', substr(seq, 1, 16), '…', substr(seq, 62), ', qual=None)') as repr from r""")
+def record_repr(spark, d):
+    return reads(spark, d).select("id", records.record_repr("name", "seq", F.lit(None).cast("string")).alias("repr"))
+
+
+@_query("select id, concat('>', name, chr(13), chr(10), seq) as text from r")
+def write_fasta(spark, d):
+    return reads(spark, d).select("id", sink.fasta_text("name", "seq", "\r\n").alias("text"))
+
+
+@_query("select id, concat('@', name, chr(10), seq, chr(10), '+', chr(10), qual) as text, concat('@', name, chr(10), seq, chr(10), '+', chr(10), repeat('I', 64)) as no_quality from r")
+def write_fastq(spark, d):
+    return reads(spark, d).select("id", sink.fastq_text("name", "seq", "qual").alias("text"), sink.fastq_text("name", "seq").alias("no_quality"))
+
+
+# -- files -------------------------------------------------------------------------
+
+
+def _key():
+    return F.regexp_extract("id", "^read([0-9]+)", 1).cast("bigint").alias("id")
+
+
+_PARSED = "select id, name, seq, {qual} as qual, length(seq)::bigint as n_bases, '{fmt}' as format, '{eol}' as line_ending from r"
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    return df.select(_key(), F.col("id").alias("name"), "seq", "qual", records.num_bases("seq").alias("n_bases"), "format", "line_ending")
+
+
+@_query(_PARSED.format(qual="null::varchar", fmt="fasta", eol="unix"))
+def roundtrip_fasta(spark, d, compression=None):
+    path = workspace(spark)
+    sink.write_fasta(reads(spark, d), path, id="name", compression=compression)
+    return _parsed(source.read_fastx(spark, path, mode="FAILFAST", positions=False))
+
+
+@_query(_PARSED.format(qual="null::varchar", fmt="fasta", eol="windows"))
+def roundtrip_fasta_crlf_wrapped(spark, d):
+    path = workspace(spark)
+    wrapped = F.concat(F.substring("seq", 1, 40), F.lit("\r\n"), F.substring("seq", 41, 64))
+    sink.write_fasta(reads(spark, d).withColumn("seq", wrapped), path, id="name", line_ending="windows")
+    return _parsed(source.read_fastx(spark, path, positions=False))
+
+
+@_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
+def roundtrip_fastq(spark, d, compression=None):
+    path = workspace(spark)
+    sink.write_fastq(reads(spark, d), path, id="name", compression=compression)
+    return _parsed(source.read_fastx(spark, path, mode="FAILFAST", positions=False))
+
+
+@_query(_PARSED.format(qual="null::varchar", fmt="fasta", eol="unix"))
+def codec_gz(spark, d):
+    return roundtrip_fasta(spark, d, compression="gzip")
+
+
+@_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
+def codec_bz2(spark, d):
+    return roundtrip_fastq(spark, d, compression="bzip2")
+
+
+def _packed(spark, d, pack: Callable[[bytes], bytes], suffix: str) -> DataFrame:
+    """The reads of the small nation table, packed on the driver: Spark has no writer for this codec."""
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    data = "".join(f"@read{r[0]} {r[1]}\nACGT\n+\nIIII\n" for r in rows).encode()
+    path = f"{workspace(spark)}/reads.fastq{suffix}"
+    fs, jpath = source._open(spark, path)
+    out = fs.create(jpath)
+    out.write(bytearray(pack(data)))
+    out.close()
+    return _parsed(source.read_fastx(spark, path))
+
+
+_NATIONS = "select n_nationkey::bigint as id, concat('read', n_nationkey, ' ', n_name) as name, 'ACGT' as seq, 'IIII' as qual, 4::bigint as n_bases, 'fastq' as format, 'unix' as line_ending from nation"
+
+
+@_query(_NATIONS)
+def codec_xz(spark, d):
+    import lzma
+
+    return _packed(spark, d, lzma.compress, ".xz")
+
+
+@_query(_NATIONS)
+def codec_zst(spark, d):
+    import zstandard
+
+    return _packed(spark, d, zstandard.compress, ".zst")
+
+
+@_query(", t as (select id, name, seq, length(name) + 2 * 64 + 6 as n, row_number() over (order by id) - 1 as i from r) select id, i::bigint as record_idx, (1 + 4 * i)::bigint as start_line, (sum(n) over (order by id) - n)::bigint as start_byte from t")
+def positions_fastq(spark, d):
+    path = workspace(spark)
+    sink.write_fastq(reads(spark, d).orderBy("id").coalesce(1), path, id="name")
+    return source.read_fastx(spark, path).select(_key(), "record_idx", "start_line", "start_byte")
+
+
+@_query(", t as (select id, name, length(name) + 68 as n, row_number() over (order by id) - 1 as i from r) select id, i::bigint as record_idx, (1 + 3 * i)::bigint as start_line, (sum(n) over (order by id) - n)::bigint as start_byte from t")
+def positions_fasta(spark, d):
+    path = workspace(spark)
+    wrapped = F.concat(F.substring("seq", 1, 40), F.lit("\n"), F.substring("seq", 41, 64))
+    sink.write_fasta(reads(spark, d).withColumn("seq", wrapped).orderBy("id").coalesce(1), path, id="name")
+    return source.read_fastx(spark, path).select(_key(), "record_idx", "start_line", "start_byte")
+
+
+@_query("select id, name, seq, qual from r where id % 2 = 0 union all select id, name, seq, null from r where id % 2 <> 0")
+def parse_string(spark, d):
+    r = reads(spark, d)
+    text = F.when(F.col("id") % 2 == 0, records.record_text("name", "seq", "qual")).otherwise(records.record_text("name", "seq", F.lit(None).cast("string")))
+    found = source.parse_strings(r.select("id", text.alias("text")), key="id", mode="FAILFAST")
+    return found.select(F.col("path").cast("bigint").alias("id"), F.col("id").alias("name"), "seq", "qual")
+
+
+_KINDS = ("UnequalLengths", "InvalidSeparator", "InvalidStart", "UnexpectedEnd", "UnknownFormat", "EmptyFile")
+
+
+@_query("""select id, case id % 6 when 0 then 'UnequalLengths' when 1 then 'InvalidSeparator' when 2 then 'InvalidStart' when 3 then 'UnexpectedEnd' when 4 then 'UnknownFormat' else 'EmptyFile' end as kind,
+case id % 6 when 0 then 5 when 1 then 7 when 2 then 5 when 3 then 6 else 0 end::bigint as line,
+case id % 6 when 0 then 'Sequence length is 4 but quality length is 3' when 1 then concat('Expected ''+'' separator but found ''', 'I') when 2 then concat('Expected ''@'' but found ''', 'r') when 3 then ''
+  when 4 then 'Expected ''@'' or ''>'' at the start of the file but found ''r''.' else 'Failed to read the first two bytes. Is the file empty?' end as msg,
+case id % 6 when 4 then 0 when 5 then 0 else 1 end::bigint as n_before from r""")
+def errors_permissive(spark, d):
+    one = F.lit("@first\nACGT\n+\nIIII\n")
+    which = F.col("id") % 6
+    text = (
+        F.when(which == 0, F.concat(one, F.lit("@x\nACGT\n+\nIII\n"))).when(which == 1, F.concat(one, F.lit("@x\nACGT\nIIII\nIIII\n"))).when(which == 2, F.concat(one, F.lit("read\nACGT\n+\nIIII\n")))
+        .when(which == 3, F.concat(one, F.lit("@x\nACGT"))).when(which == 4, F.lit("read\nACGT\n")).otherwise(F.lit(""))
+    )
+    found = source.parse_strings(reads(spark, d).select("id", text.alias("text")), key="id")
+    out = found.groupBy(F.col("path").cast("bigint").alias("id")).agg(F.max("error.kind").alias("kind"), F.max("error.line").alias("line"), F.max("error.msg").alias("msg"), F.count_if(F.col("error").isNull()).alias("n_before"))
+    return out
+
+
+@_query(f", w as ({_windows(4)}) select id, p::int as pos, least(w, {_rc('w')}) as kmer, not (w < {_rc('w')}) as was_rc from w where {_GOOD} and p < 10")
+def sql_functions(spark, d):
+    register(spark)
+    reads(spark, d).select("id", F.substring("seq", 1, 13).alias("seq")).createOrReplaceTempView("strandframe_reads")
+    return spark.sql("select id, k.pos, k.kmer, k.was_rc from strandframe_reads, lateral seq_canonical_kmers(seq, 4) as k")
