@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,5 +41,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepare_python(spark: SparkSession) -> None:
+    """Bound Arrow batches in this session, and let Python workers find this package.
+
+    Batches hold at most 8 MB and 2,000 rows: with Spark's own bounds, 64 MB and
+    10,000 rows, the Python workers of a task take more memory than the heap leaves.
+    Smaller bounds set before stay.  The package's folder is added to the workers'
+    path, which serves local sessions and clusters that have it at the same place.
+    """
+    for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [held.get("PYTHONPATH", ""), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import sys
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strandframe.llm._shared import prepare_python
 from strandframe.llm._tokens import slices
 
 SHORT = 128  #: bytes of a word that the rank array serves
-KEPT = 300_000  #: words in the table
+KEPT = 200_000  #: words in the table
 _ADDED = "\udfff"  #: before an added token; no text holds it
 _NONE = 1 << 62
 _ID = (1 << 32) - 1
@@ -115,25 +116,42 @@ class ByteBpe:
             raise ValueError("a byte-level definition that splits by its pattern is needed")
         vocab = model["vocab"]
         back = {c: b for b, c in _byte_chars().items()}
-        self._byte_id = [vocab[_byte_chars()[b]] for b in range(256)]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        #: left id and right id in one integer -> rank and id of both together in one integer
-        self._merges = {vocab[a] << 32 | vocab[b]: i << 32 | vocab[a + b] for i, (a, b) in reversed(list(enumerate(pairs)))}
         self._added = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
         as_bytes = lambda s: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
         self._bytes = {i: as_bytes(s) for s, i in [*vocab.items(), *self._added.items()]}
-        self._any = _splitter()
         size = max(self._bytes) + 1
         self._length = np.array([len(self._bytes.get(i, b"")) for i in range(size)])
         self._start = np.cumsum(self._length) - self._length
         self._all = np.frombuffer(b"".join(self._bytes.get(i, b"") for i in range(size)), np.uint8)
+        self._definition, self._known = definition, {}
+
+    @cached_property
+    def _merges(self) -> dict[int, int]:
+        """Left id and right id in one integer -> rank and id of both together in one integer."""
+        model = json.loads(self._definition)["model"]
+        vocab = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        return {vocab[a] << 32 | vocab[b]: i << 32 | vocab[a + b] for i, (a, b) in reversed(list(enumerate(pairs)))}
+
+    @cached_property
+    def _pair(self) -> _Pairs:
+        return _Pairs(self._merges)
+
+    @cached_property
+    def _byte_ids(self) -> np.ndarray:
+        vocab = json.loads(self._definition)["model"]["vocab"]
+        return np.array([vocab[_byte_chars()[b]] for b in range(256)])
+
+    @cached_property
+    def _any(self):
+        return _splitter()
+
+    @cached_property
+    def _special(self):
         longest = sorted(self._added, key=len, reverse=True)
-        self._special = regex.compile("|".join(map(regex.escape, longest))) if longest else None
-        self._byte_ids = np.array(self._byte_id)
-        self._pair = _Pairs(self._merges)
-        self._known: dict[str, bytes] = {}
+        return regex.compile("|".join(map(regex.escape, longest))) if longest else None
 
     def _split(self, text: str) -> list[str]:
         return (_ASCII if text.isascii() else self._any)(text)
@@ -144,7 +162,7 @@ class ByteBpe:
         by_width: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > SHORT:
-                out[i] = array("i", self._merge_long([self._byte_id[b] for b in w])).tobytes()
+                out[i] = array("i", self._merge_long([int(self._byte_ids[b]) for b in w])).tobytes()
             else:
                 by_width.setdefault(max(8, 1 << (len(w) - 1).bit_length()), []).append(i)
         for width, rows in by_width.items():
@@ -300,6 +318,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "ids")
     that is called ``to`` already is replaced.  The vocabulary file is read by
     the driver and broadcast: its size does not depend on the data.
     """
+    prepare_python(df.sparkSession)
     held = _Shared(df.sparkSession, vocabulary)
     schema = _with(df, to, T.ArrayType(T.IntegerType()))
 
@@ -318,6 +337,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "ids")
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``, the text of the token ids; null ids decode to the empty text."""
+    prepare_python(df.sparkSession)
     held = _Shared(df.sparkSession, vocabulary)
     schema = _with(df, to, T.StringType())
 
@@ -327,7 +347,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded"
             lists = batch.column(ids)
             lists = lists if not lists.null_count else pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
             ends = np.asarray(lists.offsets, np.int64)
-            flat = np.asarray(lists.values.fill_null(-1), np.int64)
+            flat = np.asarray(lists.values.fill_null(-1))
             yield _put(batch, to, codec.decode_rows(flat[ends[0] : ends[-1]], ends - ends[0]))
 
     return df.mapInArrow(run, schema)

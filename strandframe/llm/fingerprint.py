@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandframe.llm._shared import staged
+from strandframe.llm._shared import prepare_python, staged
 
 BUCKETS = 256
 WORST = 640  #: differences from here on count as no likeness at all
@@ -75,8 +76,7 @@ def likeness(left: str, right: str) -> float:
 
 def fingerprints(df: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of a text column; null counts as empty."""
-    from pyspark.sql import types as T
-
+    prepare_python(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name != to] + [T.StructField(to, T.StringType())])
 
     def run(batches):
@@ -115,6 +115,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     ranges' ends go to a table in the shared folder beside the finished rows, two
     texts for each range, and are joined by the number of the range.
     """
+    prepare_python(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -144,8 +145,6 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     inner = found.where("part is null").select(*_NAMES)
     edges = found.where("part is not null")
     # one row for each range of doc_id: its number and that of the next range
-    from pyspark.sql import Window
-
     turn = edges.select("part").withColumn("after", F.lead("part").over(Window.orderBy("part"))).withColumn("least", F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     turn = turn.select("part", F.coalesce("after", "least").alias("after"))
     heads = edges.select(F.col("part").alias("after"), F.col("head_text").alias("next_text"), F.col("head_fingerprint").alias("next_fingerprint"))

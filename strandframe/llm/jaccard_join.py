@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import _tokens as W
 from strandframe.llm._graph import components
-from strandframe.llm._shared import staged
+from strandframe.llm._shared import prepare_python, staged
 
 SKETCH_BITS = 20
 SLICE = 1 << 12  #: counters in a row of the count table's shuffle
@@ -69,6 +69,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     rows are repeated in the result.  Other columns are not looked at.
     """
     spark = docs.sparkSession
+    prepare_python(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     # 1. how often each n-gram hash occurs, in counters
