@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, fingerprint, jaccard_join, quality, sql
+from strandframe.llm import bpe, chat, fingerprint, jaccard_join, langid, mixing, quality, sharding, sql, toxicity, url_filter
 from strandframe.llm._shared import table
 
 
@@ -42,7 +42,42 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("host_docs", "host_rate")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    held_out = langid.fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as text, ``start-end`` joined by commas."""
+    pairs = chat.neighbours(chat.conversations(table(spark, sf_dir, "conversations")))
+    out = chat.formatted(pairs)
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return out.select(*[flat(c) if c.endswith("_mask") else c for c in out.columns])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_jaccard_join, op4_quality_rules)
+    f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_jaccard_join, op4_quality_rules, op5_toxicity, op6_url_filter, op7_language, op8_source_mix, op9_sharding, op10_preference_format)
 }
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": sql.OP4}
