@@ -118,7 +118,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     prepare_python(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = texts.repartitionByRange(order[0]).sortWithinPartitions(*order)  # a sample of the ids alone goes to the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, head, last = TaskContext.get().partitionId(), None, None
