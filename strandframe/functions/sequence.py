@@ -50,17 +50,15 @@ def canonical(seq: Column | str) -> Column:
     return F.least(_col(seq), reverse_complement(seq))
 
 
-def windows(seq: Column, k: int) -> Column:
-    """All windows of k bytes, as an array; empty if there is none."""
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda p: F.substring(seq, p, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
 def minimizer(seq: Column | str, length: int) -> Column:
-    """The least window of either strand; null if the sequence is shorter."""
+    """The least window of either strand; null if the sequence is shorter.
+
+    Each window is turned by itself, so the strand is not built again for each.
+    """
     _positive(length)
     s = _col(seq)
-    return F.array_min(F.concat(windows(s, length), windows(reverse_complement(s), length)))
+    places = F.sequence(F.lit(1), F.length(s) - length + 1)
+    return F.when(F.length(s) >= length, F.array_min(F.transform(places, lambda p: canonical(F.substring(s, p, F.lit(length))))))
 
 
 def strip_returns(seq: Column | str) -> Column:
