@@ -15,6 +15,9 @@ Large groups are not expanded into pairs.  Documents with equal sets are one
 node.  In each n-gram's posting list the most central node is the pivot, and only
 (pivot, member) pairs are verified first.  What then lies in one component needs
 no more; only members outside their pivot's component meet the rest of the list.
+
+Prefixes move as packed bytes, dealt into as many buckets as their number asks
+for, and only n-grams that at least two sets have leave a bucket as rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from strandframe.llm._shared import prepare_python, staged
 
 SKETCH_BITS = 20
 SLICE = 1 << 12  #: counters in a row of the count table's shuffle
+BUCKET = 500_000  #: prefix n-grams that meet in one Python group, on average
 HOT_LEAST = 2000  #: n-grams counted more often than this, and than 8 times the mean, are dealt apart
 INVOLVED_BITS = 23  #: bits of the map of documents that have a candidate
 ORDERS = (1, 2, 3)
@@ -45,15 +49,78 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield W.shingles(words[i:j], size)
 
 
-def _prefix(found: np.ndarray, ranks: np.ndarray, order: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(t n) + 1 n-grams under an order, and their count classes."""
+def _prefix(found: np.ndarray, ranks: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 n-grams under an order."""
     n = len(found)
     k = n - -(-num * n // den) + 1
     cls = ranks[found >> np.uint64(64 - SKETCH_BITS)]
     key = cls.astype(np.uint64) << np.uint64(58) | W.mix(found, 100 + order) >> np.uint64(6)
     at = np.argpartition(key, k - 1)[:k] if k < n else np.arange(n)
-    at = at[np.argsort(key[at])]
-    return found[at], cls[at]
+    return found[at[np.argsort(key[at])]]
+
+
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _dealt(batch: pa.RecordBatch, ranks: np.ndarray, hot: int, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, entries): packed prefix n-grams of (doc_id, n, prefix), dealt by n-gram.
+
+    Frequent n-grams lie in buckets under 0, dealt by document: nothing has to meet
+    there, so none of them fills a bucket.
+    """
+    batch = batch.take(pa.array(np.argsort(np.asarray(batch.column(0)), kind="stable")))
+    grams = [_unpack(x, 7) for x in batch.column(2).to_pylist()]
+    sizes = np.array([len(x) for x in grams])
+    gram = np.concatenate(grams)
+    doc = np.repeat(np.asarray(batch.column(0)), sizes)
+    n = np.repeat(np.asarray(batch.column(1)), sizes)
+    pos = np.arange(len(gram)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bucket = (gram % np.uint64(buckets)).astype(np.int64)
+    key = gram // np.uint64(buckets) & np.uint64((1 << 40) - 1)  # collisions cost a candidate, no more
+    frequent = ranks[gram >> np.uint64(56 - SKETCH_BITS)] >= hot
+    token = key.astype(np.int64) * buckets + bucket
+    bucket[frequent] = -1 - (W.mix(doc[frequent].view(np.uint64), 4) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    keys, rows = [], []
+    for at in np.split(order, edges) if len(order) else []:
+        step, new = np.diff(doc[at], prepend=0), np.diff(doc[at], prepend=doc[at[0]] - 1) != 0
+        small = np.concatenate([step.astype("<i8").view(np.uint8), np.where(new, n[at], 0).astype("<i4").view(np.uint8), pos[at].astype("<i4").view(np.uint8)])
+        keys.append(int(bucket[at[0]]))
+        width = 8 if keys[-1] < 0 else 5
+        value = token[at].view(np.uint64) if width == 8 else key[at]
+        rows.append(np.array([len(at), keys[-1], buckets], "<i8").tobytes() + _pack(value, width) + pa.compress(small.tobytes(), "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "entries"])
+
+
+def _undealt(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, document, set size and position of each entry of a row of ``_dealt``."""
+    count, bucket, buckets = np.frombuffer(data[:24], "<i8").tolist()
+    width = 8 if bucket < 0 else 5
+    token = _unpack(data[24 : 24 + count * width], width).astype(np.int64)
+    token = token if bucket < 0 else token * buckets + bucket
+    small = pa.decompress(data[24 + count * width :], 16 * count, "zstd", asbytes=True)
+    n = np.frombuffer(small, "<i4", count, 8 * count)
+    n = n[np.maximum.accumulate(np.where(n > 0, np.arange(count), 0))]
+    return token, np.cumsum(np.frombuffer(small, "<i8", count)), n, np.frombuffer(small, "<i4", count, 12 * count)
+
+
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Compressed texts, each after its length; null is empty."""
+    raw = (x.as_buffer() or b"" for x in texts)
+    return pa.array([len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())
+
+
+def _whole(texts: pa.Array) -> pa.Array:
+    return pa.array([pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in texts.to_pylist()], pa.binary())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -72,72 +139,95 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     prepare_python(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    # 1. how often each n-gram hash occurs, in counters
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 1. each document's set size and digest, and how often each n-gram hash occurs, in counters
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+
+        def count(held: list[np.ndarray]) -> None:
+            np.add(total, np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(total)), out=total)
+
         for batch in batches:
-            held: list[np.ndarray] = []
-            for found in _sets(batch.column(0), size):
+            held, waiting = [], 0
+            n, d1, d2 = [], [], []
+            for found in _sets(batch.column(1), size):
+                n.append(len(found))
+                d1.append(int(W.mix(found, 1).sum(dtype=np.uint64).view(np.int64)) if len(found) else None)
+                d2.append(int(np.bitwise_xor.reduce(W.mix(found, 2)).view(np.int64)) if len(found) else None)
                 held.append(found)
-                if len(held) >= 2000:
-                    total += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
-                    held = []
+                waiting += len(found)
+                if waiting >= 1 << SKETCH_BITS:
+                    count(held)
+                    held, waiting = [], 0
             if held:
-                total += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
-        rows = [(k, part.tobytes()) for k, part in enumerate(total.reshape(-1, SLICE)) if part.any()]
+                count(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "d1", "d2", "slice", "counts"])
+        rows = [(k, pa.compress(part.astype(np.int32).tobytes(), "zstd", asbytes=True)) for k, part in enumerate(total.reshape(-1, SLICE)) if part.any()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "counts"])
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n", "d1", "d2", "slice", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLICE, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
+                total += np.frombuffer(pa.decompress(x.as_buffer(), 4 * SLICE, "zstd"), np.int32)
         cls = np.log2(np.maximum(total, 1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([cls.tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], names=["slice", "classes", "total"])
 
-    parts = texts.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, classes binary, total long")
+    measured = staged(texts.mapInArrow(measure, "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "measured")
+    made = measured.where("slice is null").select("doc_id", "n", "d1", "d2")
+    parts = measured.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, classes binary, total long")
     ranks, seen = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.uint8).reshape(-1, SLICE), 0
     for row in parts.collect():  # 2 ** SKETCH_BITS bytes at most
         ranks[row["slice"]] = np.frombuffer(row["classes"], np.uint8)
         seen += row["total"]
     hot = int(np.ceil(np.log2(max(HOT_LEAST, 8 * seen / (1 << SKETCH_BITS)))))
     held = spark.sparkContext.broadcast(ranks.ravel())
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), seen * (den - num) // den // BUCKET)
 
-    # 2. each document's set size, digest and prefix under the first order
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 2. prefixes under the first order, packed, of one document of each set
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = held.value
         for batch in batches:
-            n, d1, d2, prefixes, cold = [], [], [], [], []
+            n, packed = [], []
             for found in _sets(batch.column(1), size):
                 n.append(len(found))
-                if len(found):
-                    d1.append(int(W.mix(found, 1).sum(dtype=np.uint64).view(np.int64)))
-                    d2.append(int(np.bitwise_xor.reduce(W.mix(found, 2)).view(np.int64)))
-                    p, cls = _prefix(found, ranks, ORDERS[0], num, den)
-                    prefixes.append(p.view(np.int64))
-                    cold.append(int((cls < hot).sum()))
-                else:
-                    d1.append(None), d2.append(None), cold.append(0), prefixes.append(np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32())
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cold, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "n", "d1", "d2", "cold", "prefix"])
-
-    made = staged(texts.mapInArrow(features, "doc_id long, n long, d1 long, d2 long, cold int, prefix array<long>"), "ngrams")
+                packed.append(_pack(_prefix(found, ranks, ORDERS[0], num, den) >> np.uint64(8), 7) if len(found) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "n", "prefix"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = held.value
+        for batch in batches:
+            if batch.num_rows:
+                yield _dealt(batch, ranks, hot, buckets)
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = key[0].as_py() < 0
+        found = (_undealt(x.as_py()) for batch in batches for x in batch.column("entries"))
+        for entries in found if frequent else [tuple(map(np.concatenate, zip(*found)))]:
+            keep = np.arange(len(entries[0]))
+            if not frequent:
+                keep = np.argsort(entries[0], kind="stable")
+                equal = np.diff(entries[0][keep]) == 0
+                keep = keep[np.append(equal, False) | np.append(False, equal)]
+            for at in range(0, len(keep), 1 << 16):
+                rows = keep[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in entries), pa.array(np.full(len(rows), frequent))], names=["token", "id", "n", "pos", "frequent"])
+
     nodes = made.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    kept = made.where("d1 is not null").join(nodes.where("node is not null").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = texts.where("doc_id is not null").mapInArrow(prefixes, "doc_id long, n int, prefix binary").where("n > 0").join(nodes.where("node is not null").select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    posted = staged(kept.mapInArrow(deal, "bucket int, entries binary").groupBy("bucket").applyInArrow(meet, "token long, id long, n int, pos int, frequent boolean"), "posted")
 
     # 3. posting lists of the first order's prefixes, each with its pivot
-    posted = kept.select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "cold", F.posexplode("prefix").alias("pos", "token"))
     me = F.struct("pos", "id", "n")
     run = Window.partitionBy("token").orderBy("pos", "id")
-    usual = posted.where("pos < cold").select(
+    usual = posted.where("not frequent").select(
         "token", "id", "n", "pos",
         F.first(me).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("pivot"),
         F.lead("id").over(run).alias("after"),
     )
     usual = usual.where("id <> pivot.id or after is not null").select("token", "id", "n", "pos", "pivot")
-    frequent = posted.where("pos >= cold").select("token", "id", "n", "pos")
+    frequent = posted.where("frequent").select("token", "id", "n", "pos")
     pivots = frequent.groupBy("token").agg(F.min(me).alias("pivot"), F.count("*").alias("members")).where("members > 1").select("token", "pivot")
     lists = staged(usual.unionByName(frequent.join(pivots, "token")), "postings")
 
@@ -210,12 +300,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, held, size: int, num: int, den
             out: list[list[np.ndarray]] = [[], []]
             for found in _sets(batch.column(1), size):
                 for k, order in enumerate(ORDERS[1:]):
-                    p = _prefix(found, ranks, order, num, den)[0] if len(found) else found
+                    p = _prefix(found, ranks, order, num, den) if len(found) else found
                     out[k].append((p >> np.uint64(32)).astype(np.uint32).view(np.int32))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["id", "text", "p2", "p3"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _squeezed(batch.column(1)), *lists], names=["id", "text", "p2", "p3"])
 
-    needed = staged(texts.where("doc_id is not null").mapInArrow(involved, "id long, text string, p2 array<int>, p3 array<int>").dropDuplicates(["id"]), "involved")
+    needed = staged(texts.where("doc_id is not null").mapInArrow(involved, "id long, text binary, p2 array<int>, p3 array<int>").dropDuplicates(["id"]), "involved")
 
     def side(key: str, *columns: str) -> DataFrame:
         return needed.select(F.col("id").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
@@ -227,9 +317,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, held, size: int, num: int, den
         last, left = None, None
         for batch in batches:
             keep = []
-            for a, text, right in zip(batch.column(0).to_pylist(), batch.column(1), _sets(batch.column(3), size)):
+            for a, text, right in zip(batch.column(0).to_pylist(), batch.column(1), _sets(_whole(batch.column(3)), size)):
                 if a != last:
-                    last, left = a, next(_sets(pa.array([text.as_py()], pa.string()), size))
+                    last, left = a, next(_sets(_whole(pa.array([text.as_py()], pa.binary())), size))
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(den * both >= num * (len(left) + len(right) - both))
             found = batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
