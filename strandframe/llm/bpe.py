@@ -325,12 +325,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(held)
         for batch in batches:
-            column = batch.column(text).cast(pa.string())
-            packed = [x for a, b in slices(column, 1 << 21) for x in codec.encode_packed([t or "" for t in column[a:b].to_pylist()])]
-            ends = np.cumsum([0, *map(len, packed)]) // 4
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-            yield _put(batch, to, column)
+            ids, ends = _ids(codec, batch.column(text).cast(pa.string()))
+            yield _put(batch, to, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids))
 
     return df.mapInArrow(run, schema)
 
@@ -353,6 +349,37 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded"
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the token ids of ``text`` and their text again, in place of ``text``.
+
+    The same as ``encode`` and then ``decode``, but with one codec in one Python
+    worker of a task where the two in a row take two of each.
+    """
+    prepare_python(df.sparkSession)
+    held = _Shared(df.sparkSession, vocabulary)
+    rest = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+    schema = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held)
+        for batch in batches:
+            column = batch.column(text).cast(pa.string())
+            for a, b in slices(column, 1 << 21):
+                flat, ends = _ids(codec, column[a:b])
+                own = batch.slice(a, b - a).select([f.name for f in rest]).columns
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*own, lists, codec.decode_rows(np.asarray(flat), ends)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _ids(codec: ByteBpe, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ids of all texts, and where each text's ids end, from 0 on."""
+    packed = [x for a, b in slices(texts, 1 << 21) for x in codec.encode_packed([t or "" for t in texts[a:b].to_pylist()])]
+    ends = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))]), ends
+
+
 def _put(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, name])

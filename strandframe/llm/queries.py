@@ -23,9 +23,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

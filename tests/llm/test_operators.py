@@ -83,6 +83,9 @@ def test_bpe_equals_the_library(spark, docs):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    steps = bpe.decode(bpe.encode(docs, path), path).select("doc_id", "ids", "decoded")
+    assert collections.Counter(map(str, steps.collect())) == collections.Counter(map(str, bpe.round_trip(docs, path).select("doc_id", "ids", "decoded").collect()))
+    assert bpe.round_trip(docs.withColumn("decoded", F.lit(1)).limit(0), path).columns[-2:] == ["ids", "decoded"]
     again = docs.select("doc_id", F.lit(9).alias("ids"), "text")
     assert bpe.encode(again, path).columns == ["doc_id", "text", "ids"] and bpe.encode(again.limit(0), path).count() == 0
 
