@@ -79,4 +79,4 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_jaccard_join, op4_quality_rules, op5_toxicity, op6_url_filter, op7_language, op8_source_mix, op9_sharding, op10_preference_format)
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": sql.OP4}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": sql.OP3, "op4_quality_rules": sql.OP4, "op10_preference_format": sql.OP10}

@@ -42,3 +42,55 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and v.ok) as kept
 from m join v on m.source is not distinct from v.source
 """
+
+
+#: Links by counting shared shingles; a smaller id spreads along them until nothing changes.
+OP3 = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as g
+  from words
+), grams as (select doc_id, len(g) as n, unnest(g) as g from sets), pairs as (
+  select x.doc_id as a, y.doc_id as b, x.n + y.n as n, count(*) as shared
+  from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by all
+), links as (select a, b from pairs where 100 * shared >= 80 * (n - shared)),
+edges as (select a as u, b as v from links union all select b, a from links),
+reached(id, c) as (select doc_id, doc_id from documents union select v, c from reached join edges on u = id where c < v)
+select sets.doc_id, len(g)::bigint as n_shingles, min(c) as component_id
+from sets join reached on id = sets.doc_id group by sets.doc_id, g
+"""
+
+_SHOWN = "'<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10)"
+
+
+def _rendered(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda t: {_SHOWN}), '')"
+
+
+def _mask(turns: str) -> str:
+    """Spans of what assistants wrote."""
+    before = f"coalesce(list_sum(list_transform({turns}[1 : i - 1], lambda t: length({_SHOWN}))), 0)::bigint"
+    span = f"(({before}) + length({turns}[i].role) + 5) || '-' || (({before}) + length({turns}[i].role) + length({turns}[i].text) + 14)"
+    which = f"list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant')"
+    return f"case when {turns} is not null then coalesce(array_to_string(list_transform({which}, lambda i: {span}), ','), '') end"
+
+
+OP10 = f"""
+with talks as (
+  select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as turns
+  from conversations where conv_id is not null group by conv_id
+), pairs as (
+  select floor(conv_id / 2)::bigint as pair_id, max(conv_id) filter (conv_id % 2 = 0) as chosen_id, max(conv_id) filter (conv_id % 2 <> 0) as rejected_id,
+    any_value(turns) filter (conv_id % 2 = 0) as c, any_value(turns) filter (conv_id % 2 <> 0) as r
+  from talks group by 1
+), limits as (select *, coalesce(least(len(c), len(r)) - 1, 0) as most from (select *, c is null or r is null as lone from pairs)),
+shared as (select *, case when lone then 0 else list_min(list_filter(range(0, most + 1), lambda i: i = most or c[i + 1] <> r[i + 1])) end::int as n_shared from limits),
+cut as (select *, c[n_shared + 1 :] as own_c, r[n_shared + 1 :] as own_r from shared)
+select pair_id, chosen_id, rejected_id, n_shared, case when n_shared > 0 then {_rendered('c[1 : n_shared]')} else '' end as prompt,
+  {_rendered('own_c')} as chosen_completion, {_rendered('own_r')} as rejected_completion,
+  {_mask('own_c')} as chosen_mask, {_mask('own_r')} as rejected_mask
+from cut
+"""
