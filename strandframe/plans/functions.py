@@ -9,6 +9,9 @@ from strandframe.schema import COMPLEMENT_FROM, COMPLEMENT_TO
 _RC = f"translate(reverse(s), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}')"
 _STRICT = r"regexp_replace(translate(s, 'acgtuU.~ \t\r\n', 'ACGTTT--'), '[^ACGTN\\-]', 'N')"
 _IUPAC = r"regexp_replace(translate(s, 'acgtuU.~bdhvryswkm \t\r\n', 'ACGTTT--BDHVRYSWKM'), '[^ACGTN\\-BDHVRYSWKM]', 'N')"
+_RC_WINDOW = f"translate(reverse(substring(s, p, m)), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}')"
+_SCORES = "transform(filter(split(q, ''), c -> c <> ''), c -> ascii(c) - offset)"
+_CUT = "filter(split(substring({}, 1, least(length(s), length(q))), ''), c -> c <> '')"
 _POSITIONS = "case when length(s) >= k then sequence(0, length(s) - k) else array() end"
 
 FUNCTIONS = {
@@ -19,6 +22,13 @@ FUNCTIONS = {
     "seq_strip_returns": r"(s string) returns string return translate(s, '\r\n', '')",
     "kmer_encode": "(s string) returns bigint return cast(conv(translate(upper(s), 'ACGT', '0123'), 4, 10) as bigint)",
     "kmer_decode": "(code bigint, k int) returns string return translate(lpad(conv(cast(code as string), 10, 4), k, '0'), '0123', 'ACGT')",
+    "seq_minimizer": f"(s string, m int) returns string return case when length(s) >= m then array_min(transform(sequence(1, length(s) - m + 1), p -> least(substring(s, p, m), {_RC_WINDOW}))) end",
+    "seq_num_bases": r"(s string) returns bigint return cast(length(translate(s, '\r\n', '')) as bigint)",
+    "record_name": r"(id string) returns string return regexp_extract(id, '(?U)^(\\S*)', 1)",
+    "record_description": r"(id string) returns string return case when id rlike '(?U)\\s' then regexp_replace(id, '(?U)^\\S*\\s+', '') end",
+    "mask_header_tabs": r"(id string) returns string return case when contains(id, '\t') then translate(id, '\t', '|') end",
+    "phred_decode": f"(q string, offset int) returns array<int> return if(exists({_SCORES}, x -> x < 0), raise_error(concat('a Phred score is below the offset ', offset)), {_SCORES})",
+    "seq_quality_mask": f"(s string, q string, score int) returns string return array_join(zip_with({_CUT.format('s')}, {_CUT.format('q')}, (b, x) -> if(ascii(x) < score, 'N', b)), '')",
     "seq_kmers": f"(s string, k int) returns table (pos int, kmer string) return select p, substring(s, p + 1, k) from (select explode({_POSITIONS}) as p)",
     "seq_canonical_kmers": f"(s string, k int) returns table (pos int, kmer string, was_rc boolean) return select p, least(w, r), not (w < r) from (select p, w, translate(reverse(w), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as r from (select p, substring(s, p + 1, k) as w from (select explode({_POSITIONS}) as p)) where w rlike '^[ACGTacgt]+$')",
 }

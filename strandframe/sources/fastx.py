@@ -18,6 +18,7 @@ import bz2
 import lzma
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -398,6 +399,22 @@ def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSI
     return every.select(*RECORD.names)
 
 
+def read_stdin(spark: SparkSession, spool: str, stream=None, **how) -> DataFrame:
+    """Records of what comes in on standard input, or on another binary ``stream``.
+
+    The driver copies it to the new file ``spool`` a MB at a time, in a folder that
+    the executors see; ``how`` is as for ``read_fastx``.
+    """
+    fs, jpath = _open(spark, spool)
+    out = fs.create(jpath, False)
+    try:
+        while data := (stream or sys.stdin.buffer).read(1 << 20):
+            out.write(bytearray(data))
+    finally:
+        out.close()
+    return read_fastx(spark, spool, **how)
+
+
 def _find_package(spark: SparkSession) -> None:
     """Python workers of a local session find this package where the driver does."""
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -2,6 +2,7 @@
 
 import bz2
 import gzip
+import io
 import lzma
 import random
 
@@ -153,6 +154,15 @@ def test_codecs(spark, tmp_path, pack, suffix):
     assert plain.error.kind == "UnknownFormat"
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_standard_input(spark, tmp_path, pack):
+    found = source.read_stdin(spark, str(tmp_path / "spool"), io.BytesIO(pack(b">id1\nAGTC\xff\n>id2\nAC")))
+    assert delivered(found.orderBy("record_idx").collect()) == ([("id1", "AGTC\xff", None), ("id2", "AC", None)], None)
+    assert delivered(source.read_stdin(spark, str(tmp_path / "none"), io.BytesIO(pack(b""))).collect()) == ([], ("EmptyFile", 0))
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        source.read_stdin(spark, str(tmp_path / "none"), io.BytesIO(b">a\nA"))
+
+
 def test_bytes_survive(spark, tmp_path):
     (tmp_path / "a.fa").write_bytes(b">caf\xc3\xa9 \xff\nAC\xe9T\n")
     row = source.read_fastx(spark, str(tmp_path)).first()

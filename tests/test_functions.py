@@ -84,3 +84,19 @@ def test_records(spark):
     twin = df.alias("a").join(df.alias("b"), records.equal("a", "b"))
     assert twin.count() == 3
     assert df.select(records.record_hash()).distinct().count() == 3
+
+
+def test_sql_names(spark):
+    from strandframe.plans.functions import register
+
+    register(spark)
+    df = spark.createDataFrame([("x y  z", "ATTTCG\r\n", "IIII5I"), ("a\tb", "AC", "!"), ("", "", "")], "id string, s string, q string")
+    pairs = [
+        ("seq_minimizer(s, 3)", sequence.minimizer("s", 3)), ("seq_num_bases(s)", records.num_bases("s")), ("record_name(id)", records.name("id")),
+        ("record_description(id)", records.description("id")), ("mask_header_tabs(id)", records.mask_header_tabs("id")),
+        ("phred_decode(q, 33)", quality.decode_phred("q")), ("seq_quality_mask(s, q, 60)", quality.quality_mask("s", "q", 60)),
+    ]
+    for text, column in pairs:
+        assert df.where(~F.expr(text).eqNullSafe(column)).count() == 0, text
+    with pytest.raises(Exception, match="below the offset 64"):
+        df.selectExpr("phred_decode(q, 64)").collect()
