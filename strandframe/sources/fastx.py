@@ -2,6 +2,7 @@
 
 ``read_fastx`` looks at the ends of each file on the driver (a few kB each, through
 Spark's file system classes), which gives compression, format and line ending.
+Compressed files are unpacked there until they give their first line.
 Plain files are then read in splits: FASTA records end at ``\\n>``, so Spark's text
 reader cuts them itself; FASTQ lines are numbered through the splits and put
 together by four.  Places come from the counts of each split, a row for each, and
@@ -85,6 +86,19 @@ def _peek(spark: SparkSession, path: str, at: int, n: int) -> bytes:
         stream.close()
 
 
+def _head(spark: SparkSession, path: str, codec: str) -> bytes:
+    """Unpacked text from the start of a file: its first line or ``PREFIX`` bytes, or all there is."""
+    fs, jpath = _open(spark, path)
+    unpack, text, n = _unpacker(codec), b"", LONG_PREFIX if codec == "bzip2" else PREFIX
+    stream = fs.open(jpath)
+    try:
+        while (b"\n" not in text and len(text) < PREFIX) and (raw := bytes(stream.readNBytes(n))):
+            text += b"".join(unpack.feed(raw))
+    finally:
+        stream.close()
+    return text
+
+
 def sniff(spark: SparkSession, path: str, compression: str = "auto") -> dict:
     """What the ends of a file say: codec, format, line ending, and how it ends."""
     fs, jpath = _open(spark, path)
@@ -96,9 +110,8 @@ def sniff(spark: SparkSession, path: str, compression: str = "auto") -> dict:
     text = head
     if compression == "auto" and (codec := MAGIC.get(head[:2])):
         out["codec"] = codec
-        raw = head if length <= PREFIX or codec != "bzip2" else _peek(spark, path, 0, LONG_PREFIX)
         try:
-            text = b"".join(_unpacker(codec).feed(raw))
+            text = _head(spark, path, codec)
         except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError) as e:
             return out | {"error": ("Io", str(e), None)}
         if not text:

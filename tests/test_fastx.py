@@ -191,3 +191,24 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     rows = spark.sql("select id, seq from fasta_rows order by id").collect()
     assert [tuple(r) for r in rows] == [("r0", "ACGT"), ("r1", "ACGT"), ("r2", "ACGT"), ("s0", "A"), ("s1", "A"), ("s2", "A")]
+
+
+@pytest.mark.parametrize("level", [1, 3])
+def test_zstd_first_block_over_prefix(spark, tmp_path, level):
+    made = random.Random(7)
+    protein = "".join(f">p{i}\n{''.join(made.choices('ACDEFGHIKLMNPQRSTVWY', k=500))}\n" for i in range(3000))
+    scores = "".join(map(chr, range(33, 74)))
+    fastq = "".join(f"@q{i}\n{''.join(made.choices('ACGT', k=150))}\n+\n{''.join(made.choices(scores, k=150))}\n" for i in range(5500))
+    for name, text in (("a.fa", protein), ("b.fq", fastq)):
+        packed = zstandard.ZstdCompressor(level=level).compress(text.encode())
+        assert len(text) > 1 << 20 and not zstandard.ZstdDecompressor().decompressobj().decompress(packed[: source.PREFIX])
+        (tmp_path / f"{name}.zst").write_bytes(packed)
+    found = source.read_fastx(spark, str(tmp_path), mode="FAILFAST").groupBy("format").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases")).collect()
+    assert {(r.format, r.n, r.bases) for r in found} == {("fasta", 3000, 1500000), ("fastq", 5500, 825000)}
+
+
+def test_packed_file_without_text_is_empty(spark, tmp_path):
+    (tmp_path / "a.zst").write_bytes(zstandard.compress(b"") * 9000)
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"") * 4000 + gzip.compress(b">a\nAC\n"))
+    found = {k.rsplit("/")[-1]: delivered(v) for k, v in by_path(source.read_fastx(spark, str(tmp_path))).items()}
+    assert found == {"a.zst": ([], ("EmptyFile", 0)), "b.gz": ([("a", "AC", None)], None)}
