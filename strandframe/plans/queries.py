@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -347,6 +348,57 @@ def codec_zst(spark, d):
     return _packed(spark, d, zstandard.compress, ".zst")
 
 
+def _pack_partition(folder: str, suffix: str):
+    """A function of batches of texts that packs a partition to a file of its own in ``folder``, for mapInArrow."""
+
+    def run(batches):
+        import lzma
+
+        import pyarrow as pa
+        import zstandard
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        fs, top = FileSystem.from_uri(folder)
+        task, n = TaskContext.get(), 0
+        draft = f"{top}/_{task.taskAttemptId()}"  # readers skip it, should the task fail
+        pack = lzma.LZMACompressor() if suffix == ".xz" else zstandard.ZstdCompressor().compressobj()
+        with fs.open_output_stream(draft, compression=None) as out:
+            for batch in batches:
+                out.write(pack.compress("".join(batch.column(0).to_pylist()).encode()))
+                n += batch.num_rows
+            out.write(pack.flush())
+        if n:
+            fs.move(draft, f"{top}/part-{task.partitionId():05}.fastq{suffix}")
+        else:
+            fs.delete_file(draft)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return run
+
+
+def _packed_reads(spark, r: DataFrame, suffix: str) -> DataFrame:
+    """Reads as packed FASTQ, a file for each partition, written by the executors and read again."""
+    path = workspace(spark)
+    fs, jpath = source._open(spark, path)
+    fs.mkdirs(jpath)
+    folder = re.sub("^file:/+", "file:///", fs.makeQualified(jpath).toString())
+    source._find_package(spark)
+    text = r.select(F.concat(sink.fastq_text("name", "seq", "qual"), F.lit("\n")).alias("text"))
+    text.mapInArrow(_pack_partition(folder, suffix), "n long").collect()
+    return _parsed(source.read_fastx(spark, path, mode="FAILFAST", positions=False))
+
+
+@_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
+def codec_xz_reads(spark, d):
+    return _packed_reads(spark, reads(spark, d), ".xz")
+
+
+@_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
+def codec_zst_reads(spark, d):
+    return _packed_reads(spark, reads(spark, d), ".zst")
+
+
 @_query(", t as (select id, name, seq, length(name) + 2 * 64 + 6 as n, row_number() over (order by id) - 1 as i from r) select id, i::bigint as record_idx, (1 + 4 * i)::bigint as start_line, (sum(n) over (order by id) - n)::bigint as start_byte from t")
 def positions_fastq(spark, d):
     path = workspace(spark)

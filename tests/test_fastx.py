@@ -10,6 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from strandframe.plans.queries import _packed_reads
 from strandframe.schema import FastxError
 from strandframe.sinks import fastx as sink
 from strandframe.sources import fastx as source
@@ -212,3 +213,14 @@ def test_packed_file_without_text_is_empty(spark, tmp_path):
     (tmp_path / "b.gz").write_bytes(gzip.compress(b"") * 4000 + gzip.compress(b">a\nAC\n"))
     found = {k.rsplit("/")[-1]: delivered(v) for k, v in by_path(source.read_fastx(spark, str(tmp_path))).items()}
     assert found == {"a.zst": ([], ("EmptyFile", 0)), "b.gz": ([("a", "AC", None)], None)}
+
+
+@pytest.mark.parametrize("suffix", [".xz", ".zst"])
+def test_packed_reads_of_several_files(spark, suffix):
+    base = F.md5(F.col("id").cast("string"))
+    r = spark.range(30000).select("id", F.concat(F.lit("read"), "id").alias("name"), F.translate(base, "0123456789abcdef", "ACGTACGTACGTACGN").alias("seq"), base.alias("qual"))
+    found = _packed_reads(spark, r.repartition(3), suffix)  # over 0.8 MB of text a file
+    assert found.inputFiles() and len({f for f in found.inputFiles()}) == 3
+    want = r.select("id", "name", "seq", "qual")
+    got = found.select("id", "name", "seq", "qual")
+    assert got.count() == 30000 and not got.exceptAll(want).count()
