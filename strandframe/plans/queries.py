@@ -447,3 +447,32 @@ def sql_functions(spark, d):
     register(spark)
     reads(spark, d).select("id", F.substring("seq", 1, 13).alias("seq")).createOrReplaceTempView("strandframe_reads")
     return spark.sql("select id, k.pos, k.kmer, k.was_rc from strandframe_reads, lateral seq_canonical_kmers(seq, 4) as k")
+
+
+_WHOLE_SQL = f""", w as (select id, p, substr(seq, p + 1, 4) as w from (select id, seq, unnest(range(0, 61)) as p from r)), g as (select id, p, w, {_rc('w')} as rc from w where {_GOOD}),
+k as (select id, string_agg(concat(p, ':', least(w, rc), ':', case when w < rc then 'f' else 'r' end, ':', {_code('w', 4)}), ' ' order by p) as canonical from g group by id),
+a as (select id, string_agg(concat(p, ':', w), ' ' order by p) as kmers, min(least(w, {_rc('w')})) as minimizer from w group by id),
+q as (select id, string_agg(case when ascii(substr(qual, p, 1)) < 53 then 'N' else substr(seq, p, 1) end, '' order by p) as masked, string_agg((ascii(substr(qual, p, 1)) - 33)::varchar, ' ' order by p) as scores from r, unnest(range(1, 65)) as t(p) group by id)
+select r.id, {_normal('messy', False)} as strict, {_normal('messy', True)} as iupac, translate(messy, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as comp, {_rc('messy')} as rc, least(seq, {_rc('seq')}) as canon, seq as stripped, 64::bigint as n_bases,
+  regexp_extract(name, '^([^ \\t]*)', 1) as name, case when regexp_matches(name, '[ \\t]') then regexp_replace(name, '^[^ \\t]*[ \\t]+', '') end as description, case when contains(name, chr(9)) then replace(name, chr(9), '|') end as tabs,
+  minimizer, masked, scores, kmers, canonical, good as decoded from r join a using (id) join q using (id) left join k using (id)"""
+
+
+@_query(_WHOLE_SQL)
+def sql_functions_reads(spark, d):
+    register(spark)
+    reads(spark, d).createOrReplaceTempView("strandframe_whole_reads")
+    return spark.sql(r"""
+        with k as (select id, k.pos, k.kmer, k.was_rc, kmer_encode(substring(seq, k.pos + 1, 4)) as code from strandframe_whole_reads, lateral seq_canonical_kmers(seq, 4) as k),
+        canonical as (select id, array_join(transform(array_sort(collect_list(struct(pos, kmer, was_rc, code))), x -> concat(x.pos, ':', x.kmer, ':', if(x.was_rc, 'r', 'f'), ':', x.code)), ' ') as canonical from k group by id),
+        a as (select id, k.pos, k.kmer from strandframe_whole_reads, lateral seq_kmers(seq, 4) as k),
+        plain as (select id, array_join(transform(array_sort(collect_list(struct(pos, kmer))), x -> concat(x.pos, ':', x.kmer)), ' ') as kmers from a group by id)
+        select r.id, seq_normalize(messy, false) as strict, seq_normalize(messy, true) as iupac, seq_complement(messy) as comp, seq_reverse_complement(messy) as rc, seq_canonical(seq) as canon,
+          seq_strip_returns(concat(substring(seq, 1, 20), '
+', substring(seq, 21), '
+')) as stripped, seq_num_bases(concat(seq, '
+')) as n_bases,
+          record_name(name) as name, record_description(name) as description, mask_header_tabs(name) as tabs,
+          seq_minimizer(seq, 4) as minimizer, seq_quality_mask(seq, qual, 53) as masked, array_join(transform(phred_decode(qual, 33), x -> cast(x as string)), ' ') as scores, plain.kmers, canonical.canonical,
+          concat(kmer_decode(kmer_encode(substring(good, 1, 16)), 16), kmer_decode(kmer_encode(substring(good, 17)), 16)) as decoded
+        from strandframe_whole_reads r join plain using (id) left join canonical using (id)""")

@@ -37,3 +37,15 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_sql_names_over_whole_reads(spark):
+    import inspect
+
+    from strandframe.plans.functions import FUNCTIONS
+
+    query = QUERIES["sql_functions_reads"]
+    assert [f for f in FUNCTIONS if f"{f}(" not in inspect.getsource(query)] == []
+    rows = query(spark, DATA).select("kmers", "masked").collect()
+    assert len(rows) == 1500 and all(r.kmers.count(":") == 61 and len(r.masked) == 64 for r in rows)
