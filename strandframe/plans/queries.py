@@ -191,6 +191,29 @@ def bit_minimizer(spark, d):
     return r.select("id", bits.bit_minimizer("code", 7, 3).alias("minimizer"), bits.window_minimizer("code", 7, 3).alias("window_minimizer"))
 
 
+@_query(f", w as ({_windows(9, 'good')}) select id, p::int as pos, {_code('w', 9)} as code, {_code(_rc('w'), 9)} as rc from w")
+def bit_revcomp_reads(spark, d):
+    r = reads(spark, d).select("id", F.col("good").alias("seq"))
+    return K.bit_kmers(r, 9).select("id", "pos", "code", bits.bit_reverse_complement("code", 9).alias("rc"))
+
+
+@_query(f", w as ({_windows(31, 'good')}) select id, p::int as pos, w as kmer from w")
+def bit_to_bytes_reads(spark, d):
+    r = reads(spark, d).select("id", F.col("good").alias("seq"))
+    return K.bit_kmers(r, 31).select("id", "pos", bits.decode("code", 31).alias("kmer"))
+
+
+_LETTERS = [f"substr(w, {j}, 3)" for j in range(1, 6)]
+_MINS = ", ".join(f"{_code(x, 3)}, {_code(_rc(x), 3)} * 256 + 255" for x in _LETTERS)
+_TRUE_MINS = ", ".join(f"{_code(x, 3)}, {_code(_rc(x), 3)}" for x in _LETTERS)
+
+
+@_query(f", w as ({_windows(7, 'good')}) select id, p::int as pos, least({_MINS})::bigint as minimizer, least({_TRUE_MINS})::bigint as window_minimizer from w")
+def bit_minimizer_reads(spark, d):
+    r = reads(spark, d).select("id", F.col("good").alias("seq"))
+    return K.bit_kmers(r, 7).select("id", "pos", bits.bit_minimizer("code", 7, 3).alias("minimizer"), bits.window_minimizer("code", 7, 3).alias("window_minimizer"))
+
+
 # -- quality ---------------------------------------------------------------------
 
 
@@ -220,6 +243,17 @@ def quality_mask(spark, d):
     return reads(spark, d).select("id", quality.quality_mask(F.substring("seq", 1, 50), "qual", "5").alias("seq"))
 
 
+def _masked(longest: int) -> str:
+    return f"array_to_string(list_transform(range(1, {longest + 1}), lambda p: case when ascii(substr(qual, p, 1)) < 53 then 'N' else substr(seq, p, 1) end), '')"
+
+
+@_query(f"select id, {_masked(64)} as seq, {_masked(50)} as short_seq, {_masked(40)} as short_qual from r")
+def quality_mask_reads(spark, d):
+    short_seq = quality.quality_mask(F.substring("seq", 1, 50), "qual", "5")
+    short_qual = quality.quality_mask("seq", F.substring("qual", 1, 40), "5")
+    return reads(spark, d).select("id", quality.quality_mask("seq", "qual", "5").alias("seq"), short_seq.alias("short_seq"), short_qual.alias("short_qual"))
+
+
 # -- records -----------------------------------------------------------------------
 
 
@@ -468,7 +502,7 @@ def sql_functions_reads(spark, d):
         a as (select id, k.pos, k.kmer from strandframe_whole_reads, lateral seq_kmers(seq, 4) as k),
         plain as (select id, array_join(transform(array_sort(collect_list(struct(pos, kmer))), x -> concat(x.pos, ':', x.kmer)), ' ') as kmers from a group by id)
         select r.id, seq_normalize(messy, false) as strict, seq_normalize(messy, true) as iupac, seq_complement(messy) as comp, seq_reverse_complement(messy) as rc, seq_canonical(seq) as canon,
-          seq_strip_returns(concat(substring(seq, 1, 20), '
+          seq_strip_returns(concat(substring(seq, 1, 20), '
 ', substring(seq, 21), '
 ')) as stripped, seq_num_bases(concat(seq, '
 ')) as n_bases,
