@@ -100,3 +100,14 @@ def test_sql_names(spark):
         assert df.where(~F.expr(text).eqNullSafe(column)).count() == 0, text
     with pytest.raises(Exception, match="below the offset 64"):
         df.selectExpr("phred_decode(q, 64)").collect()
+
+
+def test_deduplicated_by_hash_and_equality(spark, monkeypatch):
+    from strandframe.plans.queries import _deduplicated
+
+    rows = [("a x", "ACGT", "IIII"), ("a x", "ACGT", "IIII"), ("a x", "ACGT", None), ("a y", "ACGT", "IIII"), ("a x", "ACGA", "IIII"), ("a x", "ACGT", "IIIH")]
+    df = spark.createDataFrame(rows, "id string, seq string, qual string")
+    want = {(*r, rows.count(r)) for r in rows}
+    assert {tuple(r) for r in _deduplicated(df).collect()} == want
+    monkeypatch.setattr(records, "record_hash", lambda: F.lit(1))
+    assert {tuple(r) for r in _deduplicated(df).collect()} == want
