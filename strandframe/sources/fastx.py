@@ -1,73 +1,40 @@
 """FASTA and FASTQ sources.
 
-``read_fastx`` looks at the ends of each file on the driver (a few kB each, through
-Spark's file system classes), which gives compression, format and line ending.
-Compressed files are unpacked there until they give their first line.
-Plain files are then read in splits: FASTA records end at ``\\n>``, so Spark's text
-reader cuts them itself; FASTQ lines are numbered through the splits and put
-together by four.  Places come from the counts of each split, a row for each, and
-Spark's increasing ids, so numbering moves no sequence.
-
-Compressed files cannot be split.  Up to ``STREAMED`` bytes they are unpacked in a
-stream, each by one task; larger gzip, bzip2 and zstd files with their usual
-endings go through Spark's own codecs.
+Files are listed by Spark and cut into splits of ``SPLIT`` bytes.  Tasks open the
+files themselves, so compression and format are found out where the splits are
+read, by the first bytes of each file.  Splits of plain files are looked at first:
+how many lines and records begin in each, and where the first wrong record is.  A
+sum over these few numbers by file gives each split the place of its records, and
+the splits are cut, each by itself.  No sequence is shuffled.
+
+Compressed files cannot be split.  One task unpacks each in a stream, in one pass,
+whatever its size; what can be unpacked is delivered before the error that a broken
+or truncated stream ends with.
+
+File systems that Arrow does not open are read by Spark's ``binaryFile``, a file a
+row, which Spark limits to 2 GB a file.
 """
 
 from __future__ import annotations
 
-import bz2
-import lzma
 import os
 import re
 import sys
-import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import public_text
 from strandframe.schema import RECORD, FastxError
+from strandframe.sources import _cut
+from strandframe.sources._cut import PREFIX  # noqa: F401
 
-#: First two bytes of compressed files.  Fixed values.
-MAGIC = {b"\x1f\x8b": "gzip", b"BZ": "bzip2", b"\xfd7": "xz", b"\x28\xb5": "zstd"}
-SUFFIX = {".gz": "gzip", ".bz2": "bzip2", ".zst": "zstd"}
-STREAMED = 1 << 30  #: bytes of a compressed file that one task unpacks in a stream
-PREFIX, LONG_PREFIX = 1 << 16, 1 << 20
+SPLIT = 32 << 20  #: bytes of a split
+MOST_TASKS = 100_000
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
-_PARTS = "path string, record_idx long, l0 string, l1 string, l2 string, l3 string, n_lines int, nl boolean, last boolean, start_line long, start_byte long"
-
-
-# -- looking at files --------------------------------------------------------
-
-
-def _unpacker(codec: str):
-    if codec == "gzip":
-        return _Members(lambda: zlib.decompressobj(31))
-    if codec == "bzip2":
-        return _Members(bz2.BZ2Decompressor)
-    if codec == "xz":
-        return _Members(lzma.LZMADecompressor)
-    import zstandard
-
-    return _Members(lambda: zstandard.ZstdDecompressor().decompressobj())
-
-
-class _Members:
-    """Unpacks one compressed stream after another, as concatenated files have them."""
-
-    def __init__(self, make):
-        self.make, self.one, self.begun = make, make(), False
-
-    def feed(self, data: bytes) -> Iterator[bytes]:
-        while data:
-            yield self.one.decompress(data)
-            self.begun = True
-            data = self.one.unused_data if getattr(self.one, "eof", False) else b""
-            if getattr(self.one, "eof", False):
-                self.one, self.begun = self.make(), False
 
 
 def _open(spark: SparkSession, path: str):
@@ -76,202 +43,121 @@ def _open(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
-def _peek(spark: SparkSession, path: str, at: int, n: int) -> bytes:
-    fs, jpath = _open(spark, path)
-    stream = fs.open(jpath)
-    try:
-        stream.seek(at)
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
-
-
-def _head(spark: SparkSession, path: str, codec: str) -> bytes:
-    """Unpacked text from the start of a file: its first line or ``PREFIX`` bytes, or all there is."""
-    fs, jpath = _open(spark, path)
-    unpack, text, n = _unpacker(codec), b"", LONG_PREFIX if codec == "bzip2" else PREFIX
-    stream = fs.open(jpath)
-    try:
-        while (b"\n" not in text and len(text) < PREFIX) and (raw := bytes(stream.readNBytes(n))):
-            text += b"".join(unpack.feed(raw))
-    finally:
-        stream.close()
-    return text
-
-
-def sniff(spark: SparkSession, path: str, compression: str = "auto") -> dict:
-    """What the ends of a file say: codec, format, line ending, and how it ends."""
-    fs, jpath = _open(spark, path)
-    length = fs.getFileStatus(jpath).getLen()
-    head = _peek(spark, path, 0, PREFIX)
-    out = {"path": re.sub("^file:/+", "file:/", path), "load": jpath.toString(), "length": length, "codec": "none", "format": None, "line_ending": "unix", "nl": True, "bare_end": False, "error": None}
-    if len(head) < 2:
-        return out | {"error": ("EmptyFile", "Failed to read the first two bytes. Is the file empty?", None)}
-    text = head
-    if compression == "auto" and (codec := MAGIC.get(head[:2])):
-        out["codec"] = codec
-        try:
-            text = _head(spark, path, codec)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError) as e:
-            return out | {"error": ("Io", str(e), None)}
-        if not text:
-            return out | {"error": ("EmptyFile", "Failed to read the first two bytes. Is the file empty?", None)}
-    out["format"] = {b">": "fasta", b"@": "fastq"}.get(text[:1])
-    if out["format"] is None:
-        return out | {"error": ("UnknownFormat", f"Expected '@' or '>' at the start of the file but found '{_escaped(text[0])}'.", "fastq")}
-    end = text.find(b"\n")
-    out["line_ending"] = "windows" if end > 0 and text[end - 1 : end] == b"\r" else "unix"
-    if out["codec"] == "none":
-        tail = _peek(spark, path, max(0, length - 2), 2)
-        out |= {"nl": tail[-1:] == b"\n", "bare_end": tail == b"\n>"}
-    return out
-
-
-def _escaped(byte: int) -> str:
-    c = chr(byte)
-    if c in "\t\r\n":
-        return {"\t": "\\t", "\r": "\\r", "\n": "\\n"}[c]
-    return "\\" + c if c in "'\"\\" else c if " " <= c <= "~" else f"\\u{{{byte:x}}}"
-
-
 def _escaped_column(c: Column) -> Column:
     special = F.create_map(*[x for k, v in (("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("'", "\\'"), ('"', '\\"'), ("\\", "\\\\")) for x in (F.lit(k), F.lit(v))])
     hexed = F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))
-    return F.coalesce(F.element_at(special, c), F.when(c.rlike("^[ -~]$"), c).otherwise(hexed))
+    return F.coalesce(F.element_at(special, c), F.when(c.rlike("^[ -~]\\z"), c).otherwise(hexed))
 
 
 # -- cutting files into parts ------------------------------------------------
 
 
-def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add ``idx``, the place of each row in its file, and give (path, count) too.
+def _opens(path: str) -> bool:
+    """Whether Arrow knows the file system of a path."""
+    try:
+        _cut.opened(path).close()
+    except Exception:  # noqa: BLE001  whatever a file system without its library raises
+        return False
+    return True
+
+
+def _without_bytes(binary: DataFrame) -> DataFrame | None:
+    """The paths of empty files, which Spark lists but makes no rows of."""
+    every = {re.sub("^file:/+", "file:/", unquote(f)) for f in binary.inputFiles()}
+    if binary.count() == len(every):
+        return None
+    rest = sorted(every - {r["path"] for r in binary.select("path").toLocalIterator()})
+    return binary.sparkSession.createDataFrame([(f,) for f in rest], "path string") if rest else None
+
+
+def _parts_of_files(spark: SparkSession, paths: list[str], compression: str, split: int) -> tuple[DataFrame, DataFrame | None]:
+    """The parts of files, and (path, fault, message) of those that give none from their first bytes on."""
+    _find_package(spark)
+    binary = spark.read.format("binaryFile").load(paths)
+    if len(paths) > 1:
+        binary = binary.dropDuplicates(["path"])
+    empty = _without_bytes(binary)
+    listed = binary.select("path", "length")
+    listed = listed.unionByName(empty.withColumn("length", F.lit(0).cast("long"))) if empty is not None else listed
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("length") / split))
+    seen = listed.agg(F.count("*").alias("files"), F.sum(pieces).alias("splits"), F.max("length").alias("longest"), F.min_by("path", "length").alias("some")).first()
+    if seen["files"] and not _opens(seen["some"]):
+        content = binary.select("path", "content")
+        content = content.unionByName(empty.withColumn("content", F.lit(b"").cast("binary"))) if empty is not None else content
+        return content.mapInArrow(_cut.tasks(_whole_content(compression)), _cut.PARTS), content.mapInArrow(_faults(compression), "path string, fault string, message string")
+    heads = listed.select("path").repartition(max(1, min(seen["files"], MOST_TASKS))).mapInArrow(_faults(compression), "path string, fault string, message string")
+    if (seen["longest"] or 0) <= split:
+        whole = listed.select("path").repartition(max(1, min(seen["files"], MOST_TASKS)))
+        return whole.mapInArrow(_cut.tasks(_whole_file(compression)), _cut.PARTS), heads
+    n = min(seen["splits"], MOST_TASKS)
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long")))
+    splits = listed.select("path", "length", start.alias("start")).select("path", "start", F.least(F.col("start") + split, "length").alias("stop"), "length")
+    looked = splits.repartition(n).mapInArrow(_surveys(compression), _cut.SURVEY)
+    order, every = Window.partitionBy("path").orderBy("start"), Window.partitionBy("path")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = looked.withColumn("line", F.coalesce(F.sum("n_lines").over(before), F.lit(0))).withColumn("idx", F.coalesce(F.sum("n_records").over(before), F.lit(0))).withColumn("windows", F.max("windows").over(every))
+    bad = F.element_at(F.array("b0", "b1", "b2", "b3"), (F.pmod(-F.col("line"), F.lit(4)) + 1).cast("int"))
+    placed = placed.withColumn("limit", F.min(F.floor((F.col("line") + bad) / 4)).over(every))
+    wanted = placed.where("whole and start = 0 or not whole and (limit is null or line <= 4 * limit + 3)")
+    return wanted.select("path", "whole", "fmt", "start", "stop", "windows", "line", "idx", "limit").repartition(n).mapInArrow(_cut.tasks(_split_or_whole(compression)), _cut.PARTS), heads
+
+
+def _whole_file(compression: str):
+    def cut(row):
+        with _cut.opened(row["path"]) as file:
+            yield from _cut.cut_whole(row["path"], file, compression)
+
+    return cut
+
+
+def _whole_content(compression: str):
+    def cut(row):
+        import pyarrow as pa
+
+        yield from _cut.cut_whole(row["path"], pa.BufferReader(row["content"]), compression)
+
+    return cut
+
+
+def _split_or_whole(compression: str):
+    whole = _whole_file(compression)
+
+    def cut(row):
+        if row["whole"]:
+            yield from whole(row)
+        else:
+            yield from _cut.cut_split(row["path"], row["fmt"], row["start"], row["stop"], row["windows"], row["line"], row["idx"], row["limit"])
+
+    return cut
+
+
+def _surveys(compression: str):
+    def run(batches):
+        import pyarrow as pa
 
-    A task reads its splits one after another, so ids that increase within a task
-    count the rows of a split from the split's least id on.
-    """
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    splits = rows.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-    order = Window.partitionBy("path").orderBy("__block")
-    splits = splits.withColumn("__base", F.sum("__n").over(order) - F.col("__n"))
-    totals = splits.groupBy("path").agg(F.sum("__n").alias("__total"))
-    placed = rows.join(splits.select("path", "__block", "__first", "__base"), ["path", "__block"])
-    return placed.withColumn("idx", F.col("__base") + F.col("__id") - F.col("__first")).drop("__id", "__first", "__base"), totals
-
-
-def _path() -> Column:
-    """The file of a row, written as ``sniff`` writes it."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-
-
-def _text(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    read = spark.read.option("lineSep", sep).text(paths)
-    return read.select(_path().alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
-
-
-def _before(rows: DataFrame, amounts: dict[str, Column]) -> DataFrame:
-    """Add sums of ``amounts`` over the rows before each, in its file."""
-    for c, a in amounts.items():
-        rows = rows.withColumn(f"__a_{c}", a)
-    sums = rows.groupBy("path", "__block").agg(*(F.sum(f"__a_{c}").alias(f"__t_{c}") for c in amounts))
-    order = Window.partitionBy("path").orderBy("__block")
-    for c in amounts:
-        sums = sums.withColumn(f"__b_{c}", F.sum(f"__t_{c}").over(order) - F.col(f"__t_{c}")).drop(f"__t_{c}")
-    here = Window.partitionBy("path", "__block").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for c in amounts:
-        rows = rows.withColumn(f"__i_{c}", F.sum(f"__a_{c}").over(here) - F.col(f"__a_{c}"))
-    rows = rows.join(sums, ["path", "__block"])
-    for c in amounts:
-        rows = rows.withColumn(c, F.col(f"__b_{c}") + F.col(f"__i_{c}")).drop(f"__a_{c}", f"__b_{c}", f"__i_{c}")
-    return rows
-
-
-def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.translate(c, "\n", ""))
-
-
-def _fasta_parts(rows: DataFrame, totals: DataFrame, positions: bool) -> DataFrame:
-    """Rows between ``\\n>`` as parts: l0 holds header and sequence without the first ``>``."""
-    rows = rows.join(totals, "path")
-    if positions:
-        rows = _before(rows, {"__lines": _newlines(F.col("value")) + 1, "__bytes": F.length("value") + 2})
-    line = (F.col("__lines") + 1) if positions else F.lit(None)
-    byte = F.when(F.col("idx") == 0, 0).otherwise(F.col("__bytes") - 1) if positions else F.lit(None)
-    first = F.expr("if(idx = 0, substring(value, 2), value)")
-    none = F.lit(None).cast("string")
-    return rows.select("path", F.col("idx").alias("record_idx"), first.alias("l0"), none.alias("l1"), none.alias("l2"), none.alias("l3"), F.lit(1).alias("n_lines"), F.lit(True).alias("nl"), (F.col("idx") == F.col("__total") - 1).alias("last"), line.cast("long").alias("start_line"), byte.cast("long").alias("start_byte"))
-
-
-def _fastq_parts(rows: DataFrame, totals: DataFrame, positions: bool, nl: Column) -> DataFrame:
-    """Lines put together by four."""
-    if positions:
-        rows = _before(rows, {"__bytes": F.length("value") + 1})
-    else:
-        rows = rows.withColumn("__bytes", F.lit(None).cast("long"))
-    rows = rows.join(totals, "path")
-    rec = F.expr("idx div 4")
-    line = lambda k: F.max(F.when(F.col("idx") % 4 == k, F.col("value"))).alias(f"l{k}")
-    grouped = rows.groupBy("path", rec.alias("record_idx")).agg(*(line(k) for k in range(4)), F.count("*").cast("int").alias("n_lines"), F.max("__total").alias("__total"), F.min("__bytes").alias("start_byte"))
-    return grouped.select("path", "record_idx", "l0", "l1", "l2", "l3", "n_lines", nl.alias("nl"), (F.col("record_idx") == F.expr("(__total - 1) div 4")).alias("last"), (4 * F.col("record_idx") + 1).alias("start_line"), F.col("start_byte").cast("long").alias("start_byte"))
-
-
-def _stream_parts(fmt: str, codec: str):
-    """A function of binary files that unpacks and cuts them, for mapInArrow."""
-    import pyarrow as pa
-
-    names = [f.split()[0] for f in _PARTS.split(", ")]
-    types = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
-    sep = b"\n>" if fmt == "fasta" else b"\n"
-
-    def pieces(content) -> Iterator[tuple[bytes, bool]]:
-        """(piece, whether a separator followed)"""
-        unpack, held = _unpacker(codec), b""
-        for at in range(0, len(content), 1 << 20):
-            for data in unpack.feed(content[at : at + (1 << 20)]):
-                held += data
-                cut = held.split(sep)
-                held = cut.pop()
-                for x in cut:
-                    yield x, True
-        yield held, False
-
-    def records(path: str, content) -> Iterator[tuple]:
-        line, byte, idx = 1, 0, 0
-        if fmt == "fasta":
-            for piece, more in pieces(content):
-                value = piece[1:] if idx == 0 else piece
-                yield path, idx, value.decode("latin-1"), None, None, None, 1, True, not more, line, byte
-                line, byte, idx = line + piece.count(b"\n") + 1, byte + len(piece) + (1 if idx == 0 else 2), idx + 1
-            return
-        four: list[bytes] = []
-        done = None
-        for piece, more in pieces(content):
-            if not more and not piece:
-                break  # the file ended with a line end
-            four.append(piece)
-            if len(four) == 4 or not more:
-                if done:
-                    yield done
-                done = (path, idx, *(x.decode("latin-1") for x in four), *[None] * (4 - len(four)), len(four), more, False, line, byte)
-                line, byte, idx, four = line + 4, byte + sum(map(len, four)) + 4, idx + 1, []
-        if four:
-            if done:
-                yield done
-            done = (path, idx, *(x.decode("latin-1") for x in four), *[None] * (4 - len(four)), len(four), True, False, line, byte)
-        if done:
-            yield (*done[:8], True, *done[9:])
+        names = [f.split()[0] for f in _cut.SURVEY.split(", ")]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), *[pa.int64()] * 6]
+        for batch in batches:
+            found = [_cut.survey(r["path"], r["start"], r["stop"], r["length"], compression) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in zip(names, types)], names=names)
+
+    return run
+
+
+def _faults(compression: str):
+    """Rows (path, fault, message) of files whose first bytes are no FASTA or FASTQ, for mapInArrow."""
 
     def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                held, size = [], 0
-                for r in records(path.as_py(), memoryview(content.as_buffer())):
-                    held.append(r)
-                    size += sum(len(x) for x in r[2:6] if x)
-                    if len(held) >= 4096 or size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            out = []
+            for row in batch.to_pylist():
+                with pa.BufferReader(row["content"]) if "content" in row else _cut.opened(row["path"]) as file:
+                    _, _, fault, message, _ = _cut.looked_at(file, compression)
+                if fault:
+                    out.append((row["path"], fault, message))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["path", "fault", "message"])
 
     return run
 
@@ -291,54 +177,56 @@ def _error(kind: str, msg: Column | str, line: Column, id: Column | None, fmt: s
     )
 
 
-def fasta_records(parts: DataFrame) -> DataFrame:
-    """Parts as records; a last part whose header has no line after it is an error."""
-    v = F.col("l0")
+def _fasta(v: Column) -> dict[str, Column]:
+    """Columns of a FASTA part; a last one whose header has no line after it is an error."""
     closed = F.when(F.col("last") & v.endswith("\n"), F.substring(v, F.lit(1), F.length(v) - 1)).otherwise(v)  # the file's last line end
     cut = F.instr(closed, "\n")
     head = F.when(cut > 0, F.substring(closed, F.lit(1), cut - 1)).otherwise(closed)
-    body = F.when(cut > 0, F.substring(closed, cut + 1, F.length(closed))).otherwise("")
-    raw = _trim_cr(body)
-    truncated = F.col("last") & (cut == 0)
-    error = F.when(truncated, _error("UnexpectedEnd", "", F.coalesce("start_line", F.col("record_idx") * 0), None, "fasta"))
-    seq = F.translate(raw, "\r\n", "")
-    return _record(parts, "fasta", _trim_cr(head), raw, seq, F.lit(None).cast("string"), error)
-
-
-def fastq_records(parts: DataFrame) -> DataFrame:
-    """Parts as records, errors as the order of checks gives them; blank ends are left out."""
-    nl, n = F.col("nl"), F.col("n_lines")
-    l3 = F.when((n == 3) & nl, "").otherwise(F.col("l3"))
+    body = _trim_cr(F.when(cut > 0, F.substring(closed, cut + 1, F.length(closed))).otherwise(""))
+    error = F.when(F.col("last") & (cut == 0), _error("UnexpectedEnd", "", F.col("start_line"), None, "fasta"))
+    return {"id": _trim_cr(head), "raw_seq": body, "seq": F.translate(body, "\r\n", ""), "qual": F.lit(None).cast("string"), "raw": F.concat(F.lit(">"), closed), "error": error}
+
+
+def _fastq(l0: Column, l1: Column, l2: Column, l3: Column) -> tuple[dict[str, Column], Column]:
+    """Columns of a FASTQ part, errors as the order of checks gives them, and whether it is a blank end."""
+    nl, n, line = F.col("nl"), F.col("n_lines"), F.col("start_line")
+    l3 = F.when((n == 3) & nl, "").otherwise(l3)
     whole = (n == 4) | ((n == 3) & nl)
     short = F.col("last") & ~whole
-    line = F.col("start_line")
-    blank = lambda c: F.coalesce(_trim_cr(F.col(c)) == "", F.lit(True))
-    parts = parts.where(~(short & blank("l0") & blank("l1") & blank("l2")))
-    head = _trim_cr(F.substring(F.col("l0"), F.lit(2), F.length("l0")))
-    seq, qual = _trim_cr(F.col("l1")), _trim_cr(l3)
-    byte = lambda c: _escaped_column(F.coalesce(F.nullif(F.substring(F.col(c), 1, 1), F.lit("")), F.lit("\n")))
-    given = F.when(F.length("l0") > 0, public_text(F.substring_index(head, " ", 1)))
+    blank = lambda c: F.coalesce(_trim_cr(c) == "", F.lit(True))
+    head = _trim_cr(F.substring(l0, F.lit(2), F.length(l0)))
+    seq, qual = _trim_cr(l1), _trim_cr(l3)
+    byte = lambda c: _escaped_column(F.coalesce(F.nullif(F.substring(c, 1, 1), F.lit("")), F.lit("\n")))
+    given = F.when(F.length(l0) > 0, public_text(F.substring_index(head, " ", 1)))
     seen = n - F.when(nl, 0).otherwise(1)
     error = (
         F.when(short, _error("UnexpectedEnd", "", line + seen, F.when(seen > 0, given), "fastq"))
-        .when(~F.col("l0").startswith("@"), _error("InvalidStart", F.concat(F.lit("Expected '@' but found '"), byte("l0")), line, None, "fastq"))
-        .when(~F.col("l2").startswith("+"), _error("InvalidSeparator", F.concat(F.lit("Expected '+' separator but found '"), byte("l2")), line + 2, given, "fastq"))
+        .when(~l0.startswith("@"), _error("InvalidStart", F.concat(F.lit("Expected '@' but found '"), byte(l0)), line, None, "fastq"))
+        .when(~l2.startswith("+"), _error("InvalidSeparator", F.concat(F.lit("Expected '+' separator but found '"), byte(l2)), line + 2, given, "fastq"))
         .when(F.length(seq) != F.length(qual), _error("UnequalLengths", F.concat(F.lit("Sequence length is "), F.length(seq).cast("string"), F.lit(" but quality length is "), F.length(qual).cast("string")), line, given, "fastq"))
     )
-    return _record(parts, "fastq", head, seq, seq, qual, error)
+    return {"id": head, "raw_seq": seq, "seq": seq, "qual": qual, "raw": F.concat_ws("\n", l0, l1, l2, l3), "error": error}, short & blank(l0) & blank(l1) & blank(l2)
 
 
-def _record(parts: DataFrame, fmt: str, id: Column, raw: Column, seq: Column, qual: Column, error: Column) -> DataFrame:
-    named = parts.withColumn("error", error)
+def _records(parts: DataFrame, mode: str, positions: bool = True, keep_raw: bool = False) -> DataFrame:
+    """Parts as the records of their formats; what a task cut ends at a file's first error."""
+    text = parts.select("*", *(F.decode(f"l{k}", "ISO-8859-1").alias(f"__{k}") for k in range(4)))
+    fasta = _fasta(F.col("__0"))
+    fastq, blank = _fastq(*(F.col(f"__{k}") for k in range(4)))
+    text = text.where(F.col("fault").isNotNull() | (F.col("fmt") == "fasta") | ~blank)
+    none = F.lit(None).cast("string")
+    fault = F.struct(F.col("fault").alias("kind"), F.coalesce("message", F.lit("")).alias("msg"), F.lit(0).cast("bigint").alias("line"), none.alias("id"), F.when(F.col("fault") == "UnknownFormat", "fastq").alias("format"))
+    error = F.when(F.col("fault").isNotNull(), fault).when(F.col("fmt") == "fasta", fasta["error"]).otherwise(fastq["error"])
+    named = text.withColumn("error", error)
     ok = F.col("error").isNull()
-    return named.select("path", F.lit(fmt).alias("format"), "record_idx", F.when(ok, id).alias("id"), F.when(ok, raw).alias("raw_seq"), F.when(ok, seq).alias("seq"), F.when(ok, qual).alias("qual"), "start_line", "start_byte", "error")
-
-
-def _prefix(records: DataFrame, mode: str) -> DataFrame:
-    """What a reader delivers: the records before the first error of each file."""
-    first = records.where("error is not null").groupBy("path").agg(F.min("record_idx").alias("__bad"))
-    kept = records.join(first, "path", "left").where("__bad is null or record_idx <= __bad").drop("__bad")
-    return _in_mode(kept, mode)
+    either = lambda c: F.when(ok, F.when(F.col("fmt") == "fasta", fasta[c]).otherwise(fastq[c])).alias(c)
+    line = F.col("start_line") if positions else F.when(F.col("fmt") == "fastq", F.col("start_line"))
+    byte = F.col("start_byte") if positions else F.lit(None).cast("long")
+    found = named.select(
+        "path", F.when(F.coalesce(F.col("fault") == "Io", F.lit(True)), F.col("fmt")).alias("format"), "record_idx", *map(either, ("id", "raw_seq", "seq", "qual")),
+        F.when(F.col("windows"), "windows").otherwise("unix").alias("line_ending"), line.alias("start_line"), byte.alias("start_byte"), "error", *([either("raw")] if keep_raw else []),
+    )
+    return _in_mode(found, mode)
 
 
 def _in_mode(records: DataFrame, mode: str) -> DataFrame:
@@ -363,53 +251,30 @@ def error_text(error: Column) -> Column:
 # -- entry points ------------------------------------------------------------
 
 
-def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", compression: str = "auto", positions: bool = True) -> DataFrame:
+def _mode(mode: str) -> str:
+    mode = mode.upper()
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode!r}")
+    return mode
+
+
+def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", compression: str = "auto", positions: bool = True, keep_raw: bool = False, split: int | None = None) -> DataFrame:
     """Records of FASTA and FASTQ files, plain or compressed, with the columns of ``RECORD``.
 
     ``mode`` is as for CSV: PERMISSIVE gives the records before a file's first error
-    and one row with the error, DROPMALFORMED leaves that row out, FAILFAST raises.
-    ``compression="none"`` takes compressed files for plain ones.  Without
-    ``positions`` start_byte, and start_line of FASTA, are null, which saves a pass.
+    and one row with the error, DROPMALFORMED leaves that row out, FAILFAST raises,
+    for files that are neither format at once.  ``compression="none"`` takes
+    compressed files for plain ones.  Without ``positions`` start_byte, and start_line
+    of FASTA, are null.  ``keep_raw`` adds ``raw``, a record's bytes with all line ends
+    but the last.  ``split`` is the number of bytes that a task reads of a plain file.
     A path that does not exist raises, as with any Spark reader.
     """
-    mode = mode.upper()
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode!r}")
-    paths = [path] if isinstance(path, str | os.PathLike) else list(path)
-    files = spark.read.format("binaryFile").load([str(p) for p in paths]).inputFiles()
-    with ThreadPoolExecutor(16) as pool:
-        found = list(pool.map(lambda f: sniff(spark, f, compression), files))
-    if mode == "FAILFAST" and (bad := next((x for x in found if x["error"]), None)):
-        raise FastxError(f"{bad['error'][1]} (line 0): {bad['path']}")
-
-    out = [_broken(spark, [x for x in found if x["error"]])] if any(x["error"] for x in found) and mode == "PERMISSIVE" else []
-    for fmt in ("fasta", "fastq"):
-        these = [x for x in found if not x["error"] and x["format"] == fmt]
-        parts = []
-        native = [x for x in these if x["codec"] == "none" or x["length"] > STREAMED and SUFFIX.get(Path(x["load"]).suffix) == x["codec"]]
-        if native:
-            rows, totals = _numbered(_text(spark, [x["load"] for x in native], "\n>" if fmt == "fasta" else "\n"))
-            nl = _lookup(spark, native, "nl")
-            parts.append(_fasta_parts(rows, totals, positions) if fmt == "fasta" else _fastq_parts(rows, totals, positions, nl))
-            if ends := [x["path"] for x in native if x["bare_end"]]:  # the reader gives no row for what follows the last separator
-                parts[-1] = parts[-1].withColumn("last", F.col("last") & ~F.col("path").isin(ends)).unionByName(_bare(parts[-1], ends))
-        for codec in sorted({x["codec"] for x in these if x not in native}):
-            packed = [x["load"] for x in these if x not in native and x["codec"] == codec]
-            _find_package(spark)
-            binary = spark.read.format("binaryFile").load(packed).select(_path().alias("path"), "content")
-            parts.append(binary.mapInArrow(_stream_parts(fmt, codec), _PARTS))
-        if parts:
-            every = parts[0]
-            for p in parts[1:]:
-                every = every.unionByName(p)
-            records = fasta_records(every) if fmt == "fasta" else fastq_records(every)
-            out.append(_prefix(records, mode).withColumn("line_ending", F.when(_lookup(spark, these, "windows"), "windows").otherwise("unix")))
-    if not out:
-        return spark.createDataFrame([], RECORD)
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return every.select(*RECORD.names)
+    mode = _mode(mode)
+    paths = [str(path)] if isinstance(path, str | os.PathLike) else [str(p) for p in path]
+    parts, heads = _parts_of_files(spark, paths, compression, split or SPLIT)
+    if mode == "FAILFAST" and (bad := heads.first()):
+        raise FastxError(f"{bad['message']} (line 0): {bad['path']}")
+    return _records(parts, mode, positions, keep_raw)
 
 
 def read_stdin(spark: SparkSession, spool: str, stream=None, **how) -> DataFrame:
@@ -435,62 +300,20 @@ def _find_package(spark: SparkSession) -> None:
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [held.get("PYTHONPATH", ""), root]))
 
 
-def _lookup(spark: SparkSession, files: list[dict], what: str) -> Column:
-    """Whether a file is among those with a property; the shorter list is asked."""
-    yes = [x["path"] for x in files if (x["line_ending"] == "windows" if what == "windows" else x[what])]
-    no = [x["path"] for x in files if x["path"] not in set(yes)]
-    return F.col("path").isin(yes) if len(yes) <= len(no) else ~F.col("path").isin(no)
-
-
-def _bare(parts: DataFrame, paths: list[str]) -> DataFrame:
-    """An empty last part for files that end in ``\\n>``."""
-    last = parts.where(F.col("path").isin(paths) & F.col("last"))
-    return last.select("path", (F.col("record_idx") + 1).alias("record_idx"), F.lit("").alias("l0"), "l1", "l2", "l3", "n_lines", "nl", F.lit(True).alias("last"), (F.col("start_line") + _newlines(F.col("l0")) + 1).alias("start_line"), F.lit(None).cast("long").alias("start_byte"))
-
-
-def _broken(spark: SparkSession, files: list[dict]) -> DataFrame:
-    rows = [(x["path"], None, 0, None, None, None, None, "unix", None, None, (x["error"][0], x["error"][1], 0, None, x["error"][2])) for x in files]
-    return spark.createDataFrame(rows, RECORD)
-
-
-def parse_strings(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE", key: str = "path") -> DataFrame:
+def parse_strings(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE", key: str = "path", keep_raw: bool = False) -> DataFrame:
     """Records of the FASTA or FASTQ texts of a column, one reader for each row.
 
-    ``key`` names a column that tells the texts apart; it comes back as ``path``.
+    ``key`` names a column that tells the texts apart; it comes back as ``path``.  A
+    null text is an empty one.
     """
-    mode = mode.upper()
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode!r}")
-    t = df.select(F.col(key).cast("string").alias("path"), F.decode(F.coalesce(F.col(text), F.lit("")).cast("binary"), "ISO-8859-1").alias("t"))
-    start = F.substring("t", 1, 1)
-    n = F.length("t")
-    kind = F.when(n < 2, _error("EmptyFile", "Failed to read the first two bytes. Is the file empty?", F.lit(0), None, None)).when(
-        ~start.isin(">", "@"), _error("UnknownFormat", F.concat(F.lit("Expected '@' or '>' at the start of the file but found '"), _escaped_column(start), F.lit("'.")), F.lit(0), None, "fastq")
-    )
-    none = lambda kind="string": F.lit(None).cast(kind)
-    broken = t.select("path", none().alias("format"), F.lit(0).cast("long").alias("record_idx"), none().alias("id"), none().alias("raw_seq"), none().alias("seq"), none().alias("qual"), none("bigint").alias("start_line"), none("bigint").alias("start_byte"), kind.alias("error"), F.lit("unix").alias("line_ending")).where("error is not null")
-    first = F.instr("t", "\n")
-    eol = F.when((first > 1) & (F.substring("t", first - 1, F.lit(1)) == "\r"), "windows").otherwise("unix")
-    good = t.where(kind.isNull()).withColumn("line_ending", eol)
-
-    def parts(rows: DataFrame, sep: str) -> DataFrame:
-        cut = F.split("t", sep)
-        return rows.select("path", "line_ending", F.size(cut).alias("__total"), F.posexplode(cut).alias("idx", "value"))
-
-    here = Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a = parts(good.where(start == ">"), "\n>").withColumn("__lines", F.sum(_newlines(F.col("value")) + 1).over(here) - _newlines(F.col("value")) - 1).withColumn("__bytes", F.sum(F.length("value") + 2).over(here) - F.length("value") - 2)
-    byte = F.when(F.col("idx") == 0, 0).otherwise(F.col("__bytes") - 1)
-    a = a.select("path", "line_ending", F.col("idx").cast("long").alias("record_idx"), F.expr("if(idx = 0, substring(value, 2), value)").alias("l0"), none().alias("l1"), none().alias("l2"), none().alias("l3"), F.lit(1).alias("n_lines"), F.lit(True).alias("nl"), (F.col("idx") == F.col("__total") - 1).alias("last"), (F.col("__lines") + 1).alias("start_line"), byte.alias("start_byte"))
-    q = good.where(start == "@").withColumn("nl", F.col("t").endswith("\n")).withColumn("t", F.when(F.col("nl"), F.substring("t", F.lit(1), n - 1)).otherwise(F.col("t")))
-    cut = F.split("t", "\n")
-    q = q.select("path", "line_ending", "nl", cut.alias("ls"), F.explode(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / 4).cast("int"))).alias("rec"))
-    ls, rec = F.col("ls"), F.col("rec")
-    bytes_before = F.aggregate(F.slice(ls, F.lit(1), 4 * rec), F.lit(0).cast("long"), lambda s, x: s + F.length(x) + 1)
-    q = q.select("path", "line_ending", rec.cast("long").alias("record_idx"), *(F.get(ls, 4 * rec + k).alias(f"l{k}") for k in range(4)), F.least(F.lit(4), F.size(ls) - 4 * rec).alias("n_lines"), "nl", (4 * rec + 4 >= F.size(ls)).alias("last"), (4 * rec + 1).cast("long").alias("start_line"), bytes_before.alias("start_byte"))
-    ends = good.select("path", "line_ending")
-    both = fasta_records(a.drop("line_ending")).unionByName(fastq_records(q.drop("line_ending")))
-    every = _prefix(both, "PERMISSIVE").join(ends, "path").unionByName(broken)
-    return _in_mode(every, mode).select(*RECORD.names)
+    mode = _mode(mode)
+    _find_package(df.sparkSession)
+    texts = df.select(F.col(key).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return _records(texts.mapInArrow(_cut.tasks(_text), _cut.PARTS), mode, keep_raw=keep_raw).select(*RECORD.names, *(["raw"] if keep_raw else []))
+
+
+def _text(row):
+    yield from _cut.cut_text(row["path"], row["text"])
 
 
 def records(df: DataFrame) -> Iterator:

@@ -1,24 +1,27 @@
-"""FASTA as a stream of files."""
+"""FASTA and FASTQ as streams of files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from strandframe.sources import _cut, fastx
 
-def stream_fasta(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
-    """Records (path, id, raw_seq, seq) of the FASTA files that arrive in a folder.
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_fastx(spark: SparkSession, directory: str, max_files: int | None = None, mode: str = "PERMISSIVE", compression: str = "auto", keep_raw: bool = False) -> DataFrame:
+    """Records of the FASTA and FASTQ files that arrive in a folder, as ``read_fastx`` gives them.
 
-    Records end at ``\\n>``, so each is a row of the text source and no state is kept:
-    all column functions and k-mer generators apply to the stream as they are.  The
-    rule on a truncated last record needs a whole file and is the batch reader's.
+    A task reads each file to its end or first error, so no state is kept: all
+    column functions and k-mer generators apply to the stream as they are.
     """
-    reader = spark.readStream.format("text").option("lineSep", "\n>")
-    rows = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(directory)
-    value = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    first = F.col("_metadata.file_block_start") == 0
-    whole = rows.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.when(first, F.regexp_replace(value, "^>", "")).otherwise(value), "\n$", "").alias("v"))
-    cut = F.instr("v", "\n")
-    head = F.when(cut > 0, F.substring("v", F.lit(1), cut - 1)).otherwise(F.col("v"))
-    raw = F.when(cut > 0, F.substring("v", cut + 1, F.length("v"))).otherwise("")
-    return whole.select("path", F.regexp_replace(head, "\r$", "").alias("id"), F.regexp_replace(raw, "\r$", "").alias("raw_seq")).withColumn("seq", F.translate("raw_seq", "\r\n", ""))
+    fastx._find_package(spark)
+    reader = spark.readStream.format("binaryFile").schema(_FILE)
+    files = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(directory).select("path")
+    return fastx._records(files.mapInArrow(_cut.tasks(fastx._whole_file(compression)), _cut.PARTS), fastx._mode(mode), keep_raw=keep_raw)
+
+
+def stream_fasta(spark: SparkSession, directory: str, max_files: int | None = None) -> DataFrame:
+    """Records (path, id, raw_seq, seq) of the FASTA files that arrive in a folder, without those that are wrong."""
+    found = stream_fastx(spark, directory, max_files, "DROPMALFORMED").where("format = 'fasta'")
+    return found.select("path", "id", "raw_seq", "seq")
