@@ -53,12 +53,17 @@ def canonical(seq: Column | str) -> Column:
 def minimizer(seq: Column | str, length: int) -> Column:
     """The least window of either strand; null if the sequence is shorter.
 
-    Each window is turned by itself, so the strand is not built again for each.
+    Both strands are built once for each row, and cut as bytes if all are ASCII.
     """
     _positive(length)
     s = _col(seq)
     places = F.sequence(F.lit(1), F.length(s) - length + 1)
-    return F.when(F.length(s) >= length, F.array_min(F.transform(places, lambda p: canonical(F.substring(s, p, F.lit(length))))))
+    least = lambda a, b: lambda p: F.least(F.substring(a, p, F.lit(length)), F.substring(b, p, F.lit(length)))
+    both = lambda kind: F.array(F.struct(s.cast(kind).alias("a"), reverse_complement(s).cast(kind).alias("b"), places.alias("p")))
+    # a lambda's variable holds the strands, which else were built for each window
+    found = lambda kind: F.element_at(F.transform(both(kind), lambda t: F.array_min(F.transform(t["p"], least(t["a"], t["b"])))), 1).cast("string")
+    narrow = F.octet_length(s) == F.length(s)
+    return F.when(F.length(s) >= length, F.when(narrow, found("binary")).otherwise(found("string")))
 
 
 def strip_returns(seq: Column | str) -> Column:
@@ -67,7 +72,7 @@ def strip_returns(seq: Column | str) -> Column:
 
 def is_good(seq: Column | str) -> Column:
     """Whether all bytes are A, C, G or T of either case; an empty sequence is not."""
-    return _col(seq).rlike("^[ACGTacgt]+$")
+    return (F.length(_col(seq)) > 0) & (F.translate(_col(seq), "ACGTacgt", "") == "")
 
 
 def _positive(k: int, most: int | None = None) -> None:

@@ -20,9 +20,15 @@ def _sql_md5(mark: str) -> str:
     return f"md5(concat(o_orderkey, '-{mark}'))"
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Rows of few splits are dealt out to all cores while they are still narrow."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys._jdf.queryExecution().toRdd().getNumPartitions() < cores else keys
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, name, seq (64 bases), qual, messy (32 characters), o_orderpriority of each order."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = _dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority"))
     return o.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("read"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, " ").otherwise("\t"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))).alias("name"),

@@ -30,11 +30,13 @@ FUNCTIONS = {
     "phred_decode": f"(q string, offset int) returns array<int> return if(exists({_SCORES}, x -> x < 0), raise_error(concat('a Phred score is below the offset ', offset)), {_SCORES})",
     "seq_quality_mask": f"(s string, q string, score int) returns string return array_join(zip_with({_CUT.format('s')}, {_CUT.format('q')}, (b, x) -> if(ascii(x) < score, 'N', b)), '')",
     "seq_kmers": f"(s string, k int) returns table (pos int, kmer string) return select p, substring(s, p + 1, k) from (select explode({_POSITIONS}) as p)",
-    "seq_canonical_kmers": f"(s string, k int) returns table (pos int, kmer string, was_rc boolean) return select p, least(w, r), not (w < r) from (select p, w, translate(reverse(w), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as r from (select p, substring(s, p + 1, k) as w from (select explode({_POSITIONS}) as p)) where w rlike '^[ACGTacgt]+$')",
+    "seq_canonical_kmers": f"(s string, k int) returns table (pos int, kmer string, was_rc boolean) return select p, least(w, r), not (w < r) from (select p, w, translate(reverse(w), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as r from (select p, substring(s, p + 1, k) as w from (select explode({_POSITIONS}) as p)) where translate(w, 'ACGTacgt', '') = '')",
+    "bit_reverse_complement": "(code bigint, k int) returns bigint return cast(conv(translate(reverse(lpad(conv(cast(code as string), 10, 4), k, '0')), '0123', '3210'), 4, 10) as bigint)",
+    "seq_bit_kmers": f"(s string, k int) returns table (pos int, code bigint, was_rc boolean) return select p, cast(conv(least(w, r), 4, 10) as bigint), w > r from (select p, w, translate(reverse(w), '0123', '3210') as r from (select p, translate(substring(s, p + 1, k), 'ACGTacgt', '01230123') as w from (select explode({_POSITIONS}) as p)) where translate(w, '0123', '') = '')",
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to ``spark.sql``; the last two are table functions for LATERAL."""
+    """Make the functions known to ``spark.sql``; those that return tables are for LATERAL."""
     for name, body in FUNCTIONS.items():
         spark.sql(f"create or replace temporary function {name}{body}")

@@ -170,35 +170,14 @@ def bitkmer_k32(spark, d):
     return K.bit_kmers(reads(spark, d).select("id", "seq"), 32).select("id", "pos", F.col("code").cast("string").alias("code"))
 
 
-@_query(f"select id, {_code('substr(good, 1, 9)', 9)} as code, {_code(_rc('substr(good, 1, 9)'), 9)} as rc from r")
-def bit_revcomp(spark, d):
-    code = bits.encode(F.substring("good", 1, 9), 9)
-    return reads(spark, d).select("id", code.alias("code")).withColumn("rc", bits.bit_reverse_complement("code", 9))
-
-
-@_query("select id, substr(good, 1, 31) as kmer from r")
-def bit_to_bytes(spark, d):
-    return reads(spark, d).select("id", bits.encode(F.substring("good", 1, 31), 31).alias("code")).select("id", bits.decode("code", 31).alias("kmer"))
-
-
-_MIN = ", ".join(f"{_code(f'substr(good, {j}, 3)', 3)}, {_code(_rc(f'substr(good, {j}, 3)'), 3)} * 256 + 255" for j in range(1, 6))
-_TRUE_MIN = ", ".join(f"{_code(f'substr(good, {j}, 3)', 3)}, {_code(_rc(f'substr(good, {j}, 3)'), 3)}" for j in range(1, 6))
-
-
-@_query(f"select id, least({_MIN})::bigint as minimizer, least({_TRUE_MIN})::bigint as window_minimizer from r")
-def bit_minimizer(spark, d):
-    r = reads(spark, d).select("id", bits.encode(F.substring("good", 1, 7), 7).alias("code"))
-    return r.select("id", bits.bit_minimizer("code", 7, 3).alias("minimizer"), bits.window_minimizer("code", 7, 3).alias("window_minimizer"))
-
-
 @_query(f", w as ({_windows(9, 'good')}) select id, p::int as pos, {_code('w', 9)} as code, {_code(_rc('w'), 9)} as rc from w")
-def bit_revcomp_reads(spark, d):
+def bit_revcomp(spark, d):
     r = reads(spark, d).select("id", F.col("good").alias("seq"))
     return K.bit_kmers(r, 9).select("id", "pos", "code", bits.bit_reverse_complement("code", 9).alias("rc"))
 
 
 @_query(f", w as ({_windows(31, 'good')}) select id, p::int as pos, w as kmer from w")
-def bit_to_bytes_reads(spark, d):
+def bit_to_bytes(spark, d):
     r = reads(spark, d).select("id", F.col("good").alias("seq"))
     return K.bit_kmers(r, 31).select("id", "pos", bits.decode("code", 31).alias("kmer"))
 
@@ -209,11 +188,30 @@ _TRUE_MINS = ", ".join(f"{_code(x, 3)}, {_code(_rc(x), 3)}" for x in _LETTERS)
 
 
 @_query(f", w as ({_windows(7, 'good')}) select id, p::int as pos, least({_MINS})::bigint as minimizer, least({_TRUE_MINS})::bigint as window_minimizer from w")
-def bit_minimizer_reads(spark, d):
+def bit_minimizer(spark, d):
     r = reads(spark, d).select("id", F.col("good").alias("seq"))
     return K.bit_kmers(r, 7).select("id", "pos", bits.bit_minimizer("code", 7, 3).alias("minimizer"), bits.window_minimizer("code", 7, 3).alias("window_minimizer"))
 
 
+_WRAPPED = "concat(substr(seq, 1, 20), chr(10), substr(seq, 21, 20), chr(13), chr(10), substr(seq, 41, 10), chr(133), substr(seq, 51))"
+
+
+def _wrapped(r: DataFrame) -> DataFrame:
+    """Reads with line ends and a control character between their bases."""
+    cut = lambda a, n: F.substring("seq", a, n)
+    return r.select("id", F.concat(cut(1, 20), F.lit("\n"), cut(21, 20), F.lit("\r\n"), cut(41, 10), F.lit("\x85"), cut(51, 64)).alias("seq"))
+
+
+@_query(f", v as (select id, {_WRAPPED} as seq from r), w as ({_windows(4).replace('from r)', 'from v)')}) select id, p::int as pos, least(w, {_rc('w')}) as kmer, not (w < {_rc('w')}) as was_rc from w where {_GOOD}")
+def canonical_kmers_wrapped(spark, d):
+    return K.canonical_kmers(_wrapped(reads(spark, d)), 4)
+
+
+@_query(f", v as (select id, {_WRAPPED} as seq from r), w as ({_windows(4).replace('from r)', 'from v)')}), c as (select id, p, {_code('w', 4)} as a, {_code(_rc('w'), 4)} as b from w where {_GOOD}) select id, p::int as pos, least(a, b) as code, 4 as k, a > b as was_rc from c")
+def bitkmers_wrapped(spark, d):
+    return K.bit_kmers(_wrapped(reads(spark, d)), 4, canonical=True)
+
+
 # -- quality ---------------------------------------------------------------------
 
 
@@ -238,17 +236,12 @@ def phred_invalid(spark, d):
     return reads(spark, d).agg(F.count(quality.try_decode_phred("qual", "phred64")).alias("n_valid"), F.count("*").alias("n"))
 
 
-@_query("select id, array_to_string(list_transform(range(1, 51), lambda p: case when ascii(substr(qual, p, 1)) < 53 then 'N' else substr(seq, p, 1) end), '') as seq from r")
-def quality_mask(spark, d):
-    return reads(spark, d).select("id", quality.quality_mask(F.substring("seq", 1, 50), "qual", "5").alias("seq"))
-
-
 def _masked(longest: int) -> str:
     return f"array_to_string(list_transform(range(1, {longest + 1}), lambda p: case when ascii(substr(qual, p, 1)) < 53 then 'N' else substr(seq, p, 1) end), '')"
 
 
 @_query(f"select id, {_masked(64)} as seq, {_masked(50)} as short_seq, {_masked(40)} as short_qual from r")
-def quality_mask_reads(spark, d):
+def quality_mask(spark, d):
     short_seq = quality.quality_mask(F.substring("seq", 1, 50), "qual", "5")
     short_qual = quality.quality_mask("seq", F.substring("qual", 1, 40), "5")
     return reads(spark, d).select("id", quality.quality_mask("seq", "qual", "5").alias("seq"), short_seq.alias("short_seq"), short_qual.alias("short_qual"))
@@ -268,14 +261,6 @@ def is_fasta_fastq(spark, d):
     return reads(spark, d).select(q.alias("q")).agg(F.count_if(records.is_fasta("q")).alias("n_fasta"), F.count_if(records.is_fastq("q")).alias("n_fastq"))
 
 
-@_query(", t as (select substr(seq, 1, 2) as id, substr(seq, 3, 2) as seq, case when id % 2 = 0 then substr(qual, 1, 1) end as qual from r) select id, seq, qual, count(*)::bigint as n from t group by all")
-def record_eq_dedup(spark, d):
-    r = reads(spark, d).select(F.substring("seq", 1, 2).alias("i"), F.substring("seq", 3, 2).alias("s"), F.when(F.col("id") % 2 == 0, F.substring("qual", 1, 1)).alias("qual"))
-    counted = r.select(F.col("i").alias("id"), F.col("s").alias("seq"), "qual").groupBy("id", "seq", "qual").agg(F.count("*").alias("n"))
-    twin = counted.alias("a").join(counted.alias("b"), (F.col("a.id") == F.col("b.id")) & records.equal("a", "b"))
-    return twin.select("a.id", "a.seq", "a.qual", "b.n")
-
-
 def _deduplicated(every: DataFrame) -> DataFrame:
     """Distinct records and how often they occur: those that share a hash are compared with one of them, as often as hashes collide."""
     rest, out = every.withColumn("hash", records.record_hash()), None
@@ -289,7 +274,7 @@ def _deduplicated(every: DataFrame) -> DataFrame:
 
 
 @_query(", t as (select name as id, seq, case when id % 2 = 0 then qual end as qual from r), u as (select * from t union all select * from t union all select id, seq, null from t) select id, seq, qual, count(*)::bigint as n from u group by all")
-def record_eq_dedup_reads(spark, d):
+def record_eq_dedup(spark, d):
     r = reads(spark, d).select(F.col("name").alias("id"), "seq", F.when(F.col("id") % 2 == 0, F.col("qual")).alias("qual"))
     return _deduplicated(r.unionByName(r).unionByName(r.withColumn("qual", F.lit(None).cast("string"))))
 
@@ -305,6 +290,18 @@ def mask_tabs(spark, d):
     return reads(spark, d).select("id", records.mask_header_tabs("name").alias("masked"))
 
 
+@_query("select id, case when id % 2 = 1 then concat(name, chr(65533)) end as masked from r")
+def mask_utf8(spark, d):
+    broken = F.when(F.col("id") % 2 == 1, "\xff").otherwise("")
+    return reads(spark, d).select("id", records.mask_header_utf8(F.concat("name", broken)).alias("masked"))
+
+
+@_query("select id, seq, case when id % 3 > 0 then qual end as qual from r")
+def record_checked(spark, d):
+    r = reads(spark, d).select("id", "seq", F.when(F.col("id") % 3 > 0, F.col("qual")).alias("qual"))
+    return records.checked(r)
+
+
 @_query("select id, concat('>', name, chr(10), seq, chr(10)) as fasta, concat('@', name, chr(10), seq, chr(10), '+', chr(10), qual, chr(10)) as fastq from r")
 def record_str(spark, d):
     return reads(spark, d).select("id", records.record_text("name", "seq", F.lit(None).cast("string")).alias("fasta"), records.record_text("name", "seq", "qual").alias("fastq"))
@@ -361,65 +358,120 @@ def roundtrip_fastq(spark, d, compression=None):
     return _parsed(source.read_fastx(spark, path, mode="FAILFAST", positions=False))
 
 
-@_query(_PARSED.format(qual="null::varchar", fmt="fasta", eol="unix"))
-def codec_gz(spark, d):
-    return roundtrip_fasta(spark, d, compression="gzip")
+_CRLF = "concat(substr(seq, 1, 40), chr(13), chr(10), substr(seq, 41))"
+
+
+def _crlf_records(spark, d, **how) -> DataFrame:
+    path = workspace(spark)
+    wrapped = F.concat(F.substring("seq", 1, 40), F.lit("\r\n"), F.substring("seq", 41, 64))
+    sink.write_fasta(reads(spark, d).withColumn("seq", wrapped), path, id="name", line_ending="windows")
+    return source.read_fastx(spark, path, mode="FAILFAST", **how)
+
+
+@_query(f"select id, {_CRLF} as raw_seq, concat('>', name, chr(13), chr(10), {_CRLF}, chr(13)) as raw from r")
+def raw_records(spark, d):
+    return _crlf_records(spark, d, keep_raw=True).select(_key(), "raw_seq", "raw")
+
+
+@_query(f"select id, concat('>', name, chr(13), chr(10), {_CRLF}) as own, concat('>', name, chr(10), {_CRLF}) as forced from r")
+def write_record(spark, d):
+    return _crlf_records(spark, d).select(_key(), sink.record_bytes().alias("own"), sink.record_bytes("unix").alias("forced"))
+
+
+class _Piped:
+    """Rows of text as a binary stream on the driver, a few at a time."""
+
+    def __init__(self, texts: DataFrame):
+        self.rows, self.held = texts.toLocalIterator(), b""
+
+    def read(self, n: int) -> bytes:
+        parts, size = [self.held], len(self.held)
+        while size < n and (row := next(self.rows, None)) is not None:
+            parts.append(row[0].encode())
+            size += len(parts[-1])
+        data = b"".join(parts)
+        self.held = data[n:]
+        return data[:n]
 
 
 @_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
-def codec_bz2(spark, d):
-    return roundtrip_fastq(spark, d, compression="bzip2")
+def stdin_records(spark, d):
+    text = reads(spark, d).orderBy("id").select(F.concat(sink.fastq_text("name", "seq", "qual"), F.lit("\n")))
+    return _parsed(source.read_stdin(spark, workspace(spark), _Piped(text), mode="FAILFAST", positions=False))
 
 
-def _packed(spark, d, pack: Callable[[bytes], bytes], suffix: str) -> DataFrame:
-    """The reads of the small nation table, packed on the driver: Spark has no writer for this codec."""
-    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
-    data = "".join(f"@read{r[0]} {r[1]}\nACGT\n+\nIIII\n" for r in rows).encode()
-    path = f"{workspace(spark)}/reads.fastq{suffix}"
-    fs, jpath = source._open(spark, path)
-    out = fs.create(jpath)
-    out.write(bytearray(pack(data)))
-    out.close()
-    return _parsed(source.read_fastx(spark, path))
+@_query("select count(*)::bigint as n, sum(length(seq))::bigint as n_bases, min(id) as first_id, max(id) as last_id from r")
+def iterate_records(spark, d):
+    path = workspace(spark)
+    sink.write_fastq(reads(spark, d).orderBy("id").coalesce(1), path, id="name")
+    n, bases, first, last = 0, 0, None, None
+    for r in source.records(source.read_fastx(spark, path, mode="FAILFAST").select("path", "record_idx", _key(), "seq")):
+        n, bases, first, last = n + 1, bases + len(r.seq), r.id if first is None else first, r.id
+    return spark.createDataFrame([(n, bases, first, last)], "n long, n_bases long, first_id long, last_id long")
 
 
-_NATIONS = "select n_nationkey::bigint as id, concat('read', n_nationkey, ' ', n_name) as name, 'ACGT' as seq, 'IIII' as qual, 4::bigint as n_bases, 'fastq' as format, 'unix' as line_ending from nation"
+@_query("select 'UnknownFormat' as kind, 'Expected ''@'' or ''>'' at the start of the file but found ''\\u{1f}''.' as msg, 3::bigint as n")
+def compression_none(spark, d):
+    path = workspace(spark)
+    sink.write_fasta(reads(spark, d).repartition(3), path, id="name", compression="gzip")
+    found = source.read_fastx(spark, path, compression="none")
+    return found.groupBy(F.col("error.kind").alias("kind"), F.col("error.msg").alias("msg")).agg(F.count("*").alias("n"))
 
 
-@_query(_NATIONS)
-def codec_xz(spark, d):
-    import lzma
+def _truncated(suffix: str):
+    def query(spark, d):
+        path = _pack_reads(spark, reads(spark, d).repartition(3), suffix, cut=4)
+        return source.read_fastx(spark, path).select(_key(), F.col("id").alias("name"), "seq", "qual", F.col("error.kind").alias("kind"))
 
-    return _packed(spark, d, lzma.compress, ".xz")
+    return query
 
 
-@_query(_NATIONS)
-def codec_zst(spark, d):
+_TRUNCATED = "select id, name, seq, qual, null::varchar as kind from r union all select null, null, null, null, 'Io' from range(3)"
+for _name, _suffix in (("codec_gz_truncated", ".gz"), ("codec_bz2_truncated", ".bz2"), ("codec_xz_truncated", ".xz")):
+    _query(_TRUNCATED, _name)(_truncated(_suffix))
+
+
+@_query(_PARSED.format(qual="null::varchar", fmt="fasta", eol="unix"))
+def codec_gz(spark, d):
+    return roundtrip_fasta(spark, d, compression="gzip")
+
+
+@_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
+def codec_bz2(spark, d):
+    return roundtrip_fastq(spark, d, compression="bzip2")
+
+
+def _packer(suffix: str):
+    import bz2
+    import lzma
+    import zlib
+
     import zstandard
 
-    return _packed(spark, d, zstandard.compress, ".zst")
+    return {".gz": lambda: zlib.compressobj(6, zlib.DEFLATED, 31), ".bz2": bz2.BZ2Compressor, ".xz": lambda: lzma.LZMACompressor(preset=1), ".zst": lambda: zstandard.ZstdCompressor().compressobj()}[suffix]()
 
 
-def _pack_partition(folder: str, suffix: str):
-    """A function of batches of texts that packs a partition to a file of its own in ``folder``, for mapInArrow."""
+def _pack_partition(folder: str, suffix: str, cut: int = 0):
+    """A function of batches of texts that packs a partition to a file of its own in ``folder``, for mapInArrow.
 
-    def run(batches):
-        import lzma
+    ``cut`` bytes at the end of the file are left out.
+    """
 
+    def run(batches):
         import pyarrow as pa
-        import zstandard
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         fs, top = FileSystem.from_uri(folder)
         task, n = TaskContext.get(), 0
         draft = f"{top}/_{task.taskAttemptId()}"  # readers skip it, should the task fail
-        pack = lzma.LZMACompressor() if suffix == ".xz" else zstandard.ZstdCompressor().compressobj()
+        pack = _packer(suffix)
         with fs.open_output_stream(draft, compression=None) as out:
             for batch in batches:
                 out.write(pack.compress("".join(batch.column(0).to_pylist()).encode()))
                 n += batch.num_rows
-            out.write(pack.flush())
+            last = pack.flush()
+            out.write(last[: len(last) - cut])
         if n:
             fs.move(draft, f"{top}/part-{task.partitionId():05}.fastq{suffix}")
         else:
@@ -429,25 +481,29 @@ def _pack_partition(folder: str, suffix: str):
     return run
 
 
-def _packed_reads(spark, r: DataFrame, suffix: str) -> DataFrame:
-    """Reads as packed FASTQ, a file for each partition, written by the executors and read again."""
+def _pack_reads(spark, r: DataFrame, suffix: str, cut: int = 0) -> str:
+    """A folder of reads as packed FASTQ, a file for each partition, written by the executors."""
     path = workspace(spark)
     fs, jpath = source._open(spark, path)
     fs.mkdirs(jpath)
     folder = re.sub("^file:/+", "file:///", fs.makeQualified(jpath).toString())
     source._find_package(spark)
     text = r.select(F.concat(sink.fastq_text("name", "seq", "qual"), F.lit("\n")).alias("text"))
-    text.mapInArrow(_pack_partition(folder, suffix), "n long").collect()
-    return _parsed(source.read_fastx(spark, path, mode="FAILFAST", positions=False))
+    text.mapInArrow(_pack_partition(folder, suffix, cut), "n long").collect()
+    return path
+
+
+def _packed_reads(spark, r: DataFrame, suffix: str) -> DataFrame:
+    return _parsed(source.read_fastx(spark, _pack_reads(spark, r, suffix), mode="FAILFAST", positions=False))
 
 
 @_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
-def codec_xz_reads(spark, d):
+def codec_xz(spark, d):
     return _packed_reads(spark, reads(spark, d), ".xz")
 
 
 @_query(_PARSED.format(qual="qual", fmt="fastq", eol="unix"))
-def codec_zst_reads(spark, d):
+def codec_zst(spark, d):
     return _packed_reads(spark, reads(spark, d), ".zst")
 
 
@@ -477,28 +533,46 @@ def parse_string(spark, d):
 _KINDS = ("UnequalLengths", "InvalidSeparator", "InvalidStart", "UnexpectedEnd", "UnknownFormat", "EmptyFile")
 
 
-@_query("""select id, case id % 6 when 0 then 'UnequalLengths' when 1 then 'InvalidSeparator' when 2 then 'InvalidStart' when 3 then 'UnexpectedEnd' when 4 then 'UnknownFormat' else 'EmptyFile' end as kind,
-case id % 6 when 0 then 5 when 1 then 7 when 2 then 5 when 3 then 6 else 0 end::bigint as line,
-case id % 6 when 0 then 'Sequence length is 4 but quality length is 3' when 1 then concat('Expected ''+'' separator but found ''', 'I') when 2 then concat('Expected ''@'' but found ''', 'r') when 3 then ''
-  when 4 then 'Expected ''@'' or ''>'' at the start of the file but found ''r''.' else 'Failed to read the first two bytes. Is the file empty?' end as msg,
-case id % 6 when 4 then 0 when 5 then 0 else 1 end::bigint as n_before from r""")
-def errors_permissive(spark, d):
+def _bad_texts():
     one = F.lit("@first\nACGT\n+\nIIII\n")
     which = F.col("id") % 6
     text = (
         F.when(which == 0, F.concat(one, F.lit("@x\nACGT\n+\nIII\n"))).when(which == 1, F.concat(one, F.lit("@x\nACGT\nIIII\nIIII\n"))).when(which == 2, F.concat(one, F.lit("read\nACGT\n+\nIIII\n")))
         .when(which == 3, F.concat(one, F.lit("@x\nACGT"))).when(which == 4, F.lit("read\nACGT\n")).otherwise(F.lit(""))
     )
-    found = source.parse_strings(reads(spark, d).select("id", text.alias("text")), key="id")
+    return text
+
+
+@_query("""select id, case id % 6 when 0 then 'UnequalLengths' when 1 then 'InvalidSeparator' when 2 then 'InvalidStart' when 3 then 'UnexpectedEnd' when 4 then 'UnknownFormat' else 'EmptyFile' end as kind,
+case id % 6 when 0 then 5 when 1 then 7 when 2 then 5 when 3 then 6 else 0 end::bigint as line,
+case id % 6 when 0 then 'Sequence length is 4 but quality length is 3' when 1 then concat('Expected ''+'' separator but found ''', 'I') when 2 then concat('Expected ''@'' but found ''', 'r') when 3 then ''
+  when 4 then 'Expected ''@'' or ''>'' at the start of the file but found ''r''.' else 'Failed to read the first two bytes. Is the file empty?' end as msg,
+case id % 6 when 4 then 0 when 5 then 0 else 1 end::bigint as n_before from r""")
+def errors_permissive(spark, d):
+    found = source.parse_strings(reads(spark, d).select("id", _bad_texts().alias("text")), key="id")
     out = found.groupBy(F.col("path").cast("bigint").alias("id")).agg(F.max("error.kind").alias("kind"), F.max("error.line").alias("line"), F.max("error.msg").alias("msg"), F.count_if(F.col("error").isNull()).alias("n_before"))
     return out
 
 
-@_query(f", w as ({_windows(4)}) select id, p::int as pos, least(w, {_rc('w')}) as kmer, not (w < {_rc('w')}) as was_rc from w where {_GOOD} and p < 10")
-def sql_functions(spark, d):
-    register(spark)
-    reads(spark, d).select("id", F.substring("seq", 1, 13).alias("seq")).createOrReplaceTempView("strandframe_reads")
-    return spark.sql("select id, k.pos, k.kmer, k.was_rc from strandframe_reads, lateral seq_canonical_kmers(seq, 4) as k")
+@_query("""select id, case id % 6 when 0 then 'Sequence length is 4 but quality length is 3 (record ''x'' at line 5)' when 1 then 'Expected ''+'' separator but found ''I (record ''x'' at line 7)'
+when 2 then 'Expected ''@'' but found ''r (line 5)' when 3 then 'Unexpected end of input (record ''x'' at line 6).' when 4 then 'Expected ''@'' or ''>'' at the start of the file but found ''r''. (line 0)'
+else 'Failed to read the first two bytes. Is the file empty? (line 0)' end as shown from r""")
+def error_display(spark, d):
+    found = source.parse_strings(reads(spark, d).select("id", _bad_texts().alias("text")), key="id").where("error is not null")
+    return found.select(F.col("path").cast("bigint").alias("id"), source.error_text(F.col("error")).alias("shown"))
+
+
+@_query("select concat('FastxError: Sequence length is 64 but quality length is 63 (record ''read', min(id), ''' at line 1)') as raised from r")
+def failfast_raises(spark, d):
+    r = reads(spark, d)
+    first = r.agg(F.min("id")).scalar()
+    qual = F.when(F.col("id") == first, F.substring("qual", 1, 63)).otherwise(F.col("qual"))
+    text = records.record_text(F.concat(F.lit("read"), F.col("id").cast("string")), "seq", qual)
+    try:
+        source.parse_strings(r.select("id", text.alias("text")), key="id", mode="FAILFAST").select("id").write.format("noop").mode("overwrite").save()
+    except Exception as e:  # noqa: BLE001  Spark wraps what a task raises
+        return spark.createDataFrame([(re.search(r"FastxError: [^\n]*?at line \d+\)", str(e))[0],)], "raised string")
+    return spark.createDataFrame([], "raised string")
 
 
 _WHOLE_SQL = f""", w as (select id, p, substr(seq, p + 1, 4) as w from (select id, seq, unnest(range(0, 61)) as p from r)), g as (select id, p, w, {_rc('w')} as rc from w where {_GOOD}),
@@ -511,7 +585,7 @@ select r.id, {_normal('messy', False)} as strict, {_normal('messy', True)} as iu
 
 
 @_query(_WHOLE_SQL)
-def sql_functions_reads(spark, d):
+def sql_functions(spark, d):
     register(spark)
     reads(spark, d).createOrReplaceTempView("strandframe_whole_reads")
     return spark.sql(r"""
@@ -528,3 +602,10 @@ def sql_functions_reads(spark, d):
           seq_minimizer(seq, 4) as minimizer, seq_quality_mask(seq, qual, 53) as masked, array_join(transform(phred_decode(qual, 33), x -> cast(x as string)), ' ') as scores, plain.kmers, canonical.canonical,
           concat(kmer_decode(kmer_encode(substring(good, 1, 16)), 16), kmer_decode(kmer_encode(substring(good, 17)), 16)) as decoded
         from strandframe_whole_reads r join plain using (id) left join canonical using (id)""")
+
+
+@_query(f", w as ({_windows(4)}), c as (select id, p, {_code('w', 4)} as a, {_code(_rc('w'), 4)} as b from w where {_GOOD}) select id, p::int as pos, least(a, b) as code, a > b as was_rc, greatest(a, b) as other from c")
+def sql_bit_functions(spark, d):
+    register(spark)
+    reads(spark, d).select("id", "seq").createOrReplaceTempView("strandframe_bit_reads")
+    return spark.sql("select id, k.pos, k.code, k.was_rc, bit_reverse_complement(k.code, 4) as other from strandframe_bit_reads, lateral seq_bit_kmers(seq, 4) as k")

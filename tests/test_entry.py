@@ -45,14 +45,14 @@ def test_sql_names_over_whole_reads(spark):
 
     from strandframe.plans.functions import FUNCTIONS
 
-    query = QUERIES["sql_functions_reads"]
-    assert [f for f in FUNCTIONS if f"{f}(" not in inspect.getsource(query)] == []
+    query = QUERIES["sql_functions"]
+    assert [f for f in FUNCTIONS if f"{f}(" not in inspect.getsource(query) + inspect.getsource(QUERIES["sql_bit_functions"])] == []
     rows = query(spark, DATA).select("kmers", "masked").collect()
     assert len(rows) == 1500 and all(r.kmers.count(":") == 61 and len(r.masked) == 64 for r in rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_packed_kmers_and_masks_of_whole_reads(spark):
-    for name, windows in (("bit_revcomp_reads", 24), ("bit_to_bytes_reads", 2), ("bit_minimizer_reads", 26)):
+    for name, windows in (("bit_revcomp", 24), ("bit_to_bytes", 2), ("bit_minimizer", 26)):
         assert {r["count"] for r in QUERIES[name](spark, DATA).groupBy("id").count().collect()} == {windows}
-    assert {(len(r.seq), len(r.short_seq), len(r.short_qual)) for r in QUERIES["quality_mask_reads"](spark, DATA).collect()} == {(64, 50, 40)}
+    assert {(len(r.seq), len(r.short_seq), len(r.short_qual)) for r in QUERIES["quality_mask"](spark, DATA).collect()} == {(64, 50, 40)}

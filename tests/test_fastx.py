@@ -14,7 +14,7 @@ from strandframe.plans.queries import _packed_reads
 from strandframe.schema import FastxError
 from strandframe.sinks import fastx as sink
 from strandframe.sources import fastx as source
-from strandframe.streaming.fasta import stream_fasta
+from strandframe.streaming.fasta import stream_fasta, stream_fastx
 
 #: text -> (id, raw_seq, qual) of its records, and the kind and line of its error
 CASES = {
@@ -224,3 +224,27 @@ def test_packed_reads_of_several_files(spark, suffix):
     want = r.select("id", "name", "seq", "qual")
     got = found.select("id", "name", "seq", "qual")
     assert got.count() == 30000 and not got.exceptAll(want).count()
+
+
+def test_streams_follow_the_batch_reader(spark, tmp_path):
+    """Both formats, packed and plain, with their errors."""
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(CASES):
+        (tmp_path / "in" / f"{i:03}.txt").write_bytes((gzip.compress if i % 3 == 0 else bytes)(text.encode()))
+    (tmp_path / "in" / "odd.fa").write_bytes(b">>b\nAC\n\n>c\n\n\nG\n")
+    query = stream_fastx(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("fastx_rows").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = source.read_fastx(spark, str(tmp_path / "in"))
+    got = spark.table("fastx_rows")
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert [r.id for r in got.where("path like '%odd.fa'").orderBy("record_idx").collect()] == [">b", "c"]
+
+
+def test_many_texts_and_repeated_keys(spark):
+    """One text of many records takes time in proportion; rows of one key are texts of their own."""
+    n = 20000
+    df = spark.createDataFrame([("a", "".join(f"@r{k}\nAC\n+\nII\n" for k in range(n))), ("b", ">x\nA\n"), ("b", ">y\nC\n>z\nG"), (None, None)], "path string, text string")
+    found = source.parse_strings(df)
+    assert found.where("path = 'a' and error is null").agg(F.count("*"), F.max("start_line"), F.max("record_idx")).first() == (n, 4 * n - 3, n - 1)
+    assert sorted((r.path, r.record_idx, r.id) for r in found.where("path = 'b'").collect()) == [("b", 0, "x"), ("b", 0, "y"), ("b", 1, "z")]
+    assert found.where("path is null").first().error.kind == "EmptyFile"

@@ -111,3 +111,13 @@ def test_deduplicated_by_hash_and_equality(spark, monkeypatch):
     assert {tuple(r) for r in _deduplicated(df).collect()} == want
     monkeypatch.setattr(records, "record_hash", lambda: F.lit(1))
     assert {tuple(r) for r in _deduplicated(df).collect()} == want
+
+
+def test_good_bases_end_at_the_last_character(spark):
+    df = spark.createDataFrame([("ACGT",), ("acgt",), ("ACG\n",), ("ACG\x85",), ("",), ("ACN",)], "s string")
+    assert [r[0] for r in df.select(sequence.is_good("s")).collect()] == [True, True, False, False, False, False]
+
+
+def test_minimizer_of_any_text(spark):
+    df = spark.createDataFrame([("ATTTCG",), ("ééATé",), ("AC",), (None,)], "s string")
+    assert [r[0] for r in df.select(sequence.minimizer("s", 3)).collect()] == ["AAA", "ATé", None, None]

@@ -55,3 +55,30 @@ def test_counts_sum_before_the_shuffle(spark):
     df = K.kmer_counts(K.canonical_kmers(one(spark, "ACGT" * 20), 4))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "Python" not in plan
+
+
+def test_line_ends_are_no_bases(spark):
+    for odd in ("AACG\nTTGA", "AACG\r\nTTGA", "AACG\x85TTGA", "AACGTT\n", "\nAACG", "ACÅGT日本ACGT"):
+        want = [(i, odd[i : i + 4]) for i in range(len(odd) - 3) if set(odd[i : i + 4]) <= set("ACGTacgt")]
+        turned = [w[::-1].translate(str.maketrans("ACGT", "TGCA")) for _, w in want]
+        assert rows(K.canonical_kmers(one(spark, odd), 4), "pos", "kmer") == [(i, min(w, r)) for (i, w), r in zip(want, turned)]
+        assert rows(K.bit_kmers(one(spark, odd), 4), "pos", "code") == [(i, sum("ACGT".index(c) * 4 ** (3 - j) for j, c in enumerate(w))) for i, w in want]
+        assert rows(K.kmers(one(spark, odd), 3), "pos", "kmer") == [(i, odd[i : i + 3]) for i in range(len(odd) - 2)]
+    for k in (31, 32):
+        long = "ACGTTGCAAC" * 4
+        codes = [(i, sum("ACGT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(long[i : i + k]))) for i in range(len(long) - k + 1)]
+        assert [(p, int(c)) for p, c in rows(K.bit_kmers(one(spark, long), k), "pos", "code")] == codes
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([("AGCTA", 1, 2, 3, 4, 5)], "seq string, __s int, __c int, __w int, __0 int, __5 int")
+    for found in (K.kmers(df, 2), K.canonical_kmers(df, 2), K.bit_kmers(df, 2, canonical=True)):
+        assert found.count() == 4 and found.select("__s", "__c", "__w", "__0", "__5").distinct().collect() == [(1, 2, 3, 4, 5)]
+
+
+def test_windows_of_a_long_sequence(spark):
+    """A sequence of several chunks, in time that grows with its length."""
+    n = 3 * K.CHUNK + 17
+    df = spark.range(1).select(F.expr(f"substring(repeat('ACGTTGCAAN', {n // 10 + 1}), 1, {n})").alias("seq"))
+    assert K.kmers(df, 21).count() == n - 20
+    assert K.canonical_kmers(df, 5).agg(F.max("pos"), F.count("*")).first() == K.bit_kmers(df, 5).agg(F.max("pos"), F.count("*")).first()
