@@ -172,6 +172,26 @@ def test_join_of_a_large_group(spark, monkeypatch):
     assert kept.count() == len({c for _, _, c in brute_components(rows)})
 
 
+def test_join_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts are documents of their own, whichever text comes first."""
+    rng = random.Random(12)
+    a, b, c = (words(rng, 60).split() for _ in range(3))
+    more = lambda w, k: " ".join([*w[:-1], f"tail{k}"])
+    rows = [(5, more(a, 0)), (5, more(b, 0)), (1, more(a, 1)), (2, more(b, 1)), (5, more(c, 0)), (9, more(c, 0)), (7, more(c, 0)), (7, more(c, 2)), (7, ""), (5, more(a, 0))]
+    for order in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert collections.Counter(map(tuple, jaccard_join.near_duplicates(df).collect())) == brute_components(order)
+    texts = spark.createDataFrame([(f"id{i}", t) for i, t in rows], "doc_id string, text string")
+    want = brute_components([(f"id{i}", t) for i, t in rows])
+    assert collections.Counter(map(tuple, jaccard_join.near_duplicates(texts).collect())) == want
+
+
+def test_maps_never_forget(spark):
+    keys = [k * 7919 - 10**6 for k in range(3000)]
+    found = jaccard_join._map(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5), len(keys))
+    assert found.has(np.array(keys)).all() and found.has(np.arange(10**7, 10**7 + 20000)).mean() < 0.01
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 140)] + [(0, k) for k in range(1, 30)] + [tuple(sorted(rng.sample(range(200, 260), 2))) for _ in range(40)]
