@@ -2,8 +2,10 @@
 
 Method: the longest common turn prefix of both conversations is found and
 rendered once, as the prompt; what follows in each is its completion, and masks
-say which characters of a completion an assistant wrote.  A prefix never takes
-in a conversation whole: the last turn of the shorter one stays in its completion.
+say which characters of a completion an assistant wrote.  Where one conversation
+begins the other, nothing of it is left and its completion is empty.
+
+A conversation is one text, so its turns are gathered in one cell.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm._shared import fresh
+
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
+_MADE = ("n_shared", "prompt", "chosen_completion", "rejected_completion", "chosen_mask", "rejected_mask")
 LEARNED = "assistant"  #: whose turns are not masked
 
 
@@ -65,17 +70,18 @@ def formatted(pairs: DataFrame) -> DataFrame:
     """Add n_shared, prompt, and both completions with their masks to (chosen, rejected) pairs.
 
     A missing or empty side shares nothing: the prompt is empty, and its own
-    completion null if it is missing.  Equal conversations share all but the last turn.
+    completion null if it is missing.  Equal conversations share all turns, and
+    both completions are empty.  A column n_shared or of a result's name is replaced.
     """
     c, r = F.col("chosen"), F.col("rejected")
-    short = F.coalesce(F.least(F.size(c), F.size(r)), F.lit(0))
-    limit = F.when(c.isNull() | r.isNull(), 0).otherwise(F.greatest(short - 1, F.lit(0)))
-    out = pairs.withColumn("__limit", limit)
-    apart = F.filter(F.sequence(F.lit(0), F.col("__limit")), lambda i: (i == F.col("__limit")) | (F.get("chosen", i) != F.get("rejected", i)))
-    out = out.withColumn("n_shared", F.when(F.col("__limit") > 0, F.element_at(apart, 1)).otherwise(0)).drop("__limit")
+    (limit,) = fresh(pairs, "limit")
+    short = F.when(c.isNull() | r.isNull(), 0).otherwise(F.least(F.size(c), F.size(r)))
+    out = pairs.withColumn(limit, short)
+    apart = F.filter(F.sequence(F.lit(0), F.col(limit)), lambda i: (i == F.col(limit)) | (F.get("chosen", i) != F.get("rejected", i)))
+    out = out.withColumn("n_shared", F.element_at(apart, 1)).drop(limit)
     rest = lambda side: F.slice(side, F.col("n_shared") + 1, F.greatest(F.size(side) - F.col("n_shared"), F.lit(0)))
     prompt = F.when(F.col("n_shared") > 0, rendered(F.slice("chosen", F.lit(1), F.col("n_shared")))).otherwise("")
     return out.select(
-        *[x for x in pairs.columns if x not in ("chosen", "rejected")], "n_shared", prompt.alias("prompt"),
+        *[x for x in pairs.columns if x not in ("chosen", "rejected", *_MADE)], "n_shared", prompt.alias("prompt"),
         rendered(rest(c)).alias("chosen_completion"), rendered(rest(r)).alias("rejected_completion"), mask(rest(c)).alias("chosen_mask"), mask(rest(r)).alias("rejected_mask"),
     )

@@ -3,8 +3,10 @@
 Method: triplets of bytes within a window of five are hashed into 256 buckets.
 The digest holds, in hex, a byte for the length on a logarithmic scale, a byte
 for the ratios of the quartiles of the bucket counts, and two bits a bucket for
-the quartile that its count lies in.  The difference of two digests adds up the
-differences of these parts and is bounded; likeness is its complement to 1.
+the quartile that its count lies in.  Texts under five bytes are filled up with
+zeros, so that what they have is counted too.  The difference of two digests adds
+up the differences of these parts, those of the buckets as a share of what buckets
+dealt at random would differ by, and is bounded; likeness is its complement to 1.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def bucket_counts(data: bytes) -> np.ndarray:
 
 def digest(data: bytes) -> str:
     """The fingerprint of some bytes: 2 + 2 + 128 hex digits."""
-    counts = bucket_counts(data)
+    counts = bucket_counts(data.ljust(5, b"\0") if data else data)
     q1, q2, q3 = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     codes = ((counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)).reshape(-1, 4)
     packed = codes[:, 0] << 6 | codes[:, 1] << 4 | codes[:, 2] << 2 | codes[:, 3]
@@ -56,8 +58,12 @@ def digest(data: bytes) -> str:
     return bytes([length, ratios, *packed.tolist()]).hex()
 
 
+_GAPS = np.abs(np.arange(4)[:, None] - np.arange(4))
+_GAPS = _GAPS + 3 * (_GAPS == 3)  #: what two quartiles differ by
+
+
 def difference(left: str, right: str) -> int:
-    """0 for equal fingerprints, at most ``WORST``."""
+    """0 for equal fingerprints, at most ``WORST``, which unrelated ones reach or come near to."""
     a, b = np.frombuffer(bytes.fromhex(left), np.uint8), np.frombuffer(bytes.fromhex(right), np.uint8)
     length = abs(int(a[0]) - int(b[0]))
     score = length if length <= 1 else 6 * length
@@ -65,8 +71,10 @@ def difference(left: str, right: str) -> int:
         gap = abs((int(a[1]) >> shift & 15) - (int(b[1]) >> shift & 15))
         score += min(gap, 16 - gap)
     shifts = np.array([6, 4, 2, 0], np.uint8)
-    gaps = np.abs((a[2:, None] >> shifts & 3).astype(int) - (b[2:, None] >> shifts & 3))
-    score += int(gaps.sum() + 3 * (gaps == 3).sum())
+    mine, other = (a[2:, None] >> shifts & 3).ravel(), (b[2:, None] >> shifts & 3).ravel()
+    apart = int(_GAPS[mine, other].sum())
+    if apart:
+        score += round(WORST * apart * BUCKETS / int(np.bincount(mine, minlength=4) @ _GAPS @ np.bincount(other, minlength=4)))
     return min(score, WORST)
 
 

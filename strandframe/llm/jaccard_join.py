@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from strandframe.llm import _tokens as W
 from strandframe.llm._graph import components
-from strandframe.llm._shared import prepare_python, staged
+from strandframe.llm._shared import fresh, prepare_python, staged
 
 LEAST_BITS, MOST_BITS = 20, 25  #: counters, as powers of two
 LOAD = 32  #: n-grams in a counter that the number of counters aims at
@@ -446,4 +446,5 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     goes as a whole if one of them links to a smaller doc_id.
     """
     gone = near_duplicates(docs, **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", name), docs["doc_id"] == F.col(name), "left_anti")

@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve.
 
 Method: several metadata dimensions (source, language, length) are quantised to
-``BITS`` bits each; rows are sorted by the index of their cell on the Hilbert
+``BITS`` bits each, source and language by the rank of their value, so that near
+cells hold near values; rows are sorted by the index of their cell on the Hilbert
 curve through these dimensions, and runs of equally many rows are cut into
 shards.  Neighbours on the curve are neighbours in every dimension, so a shard's
 ranges are narrow in all of them and readers can skip files by any.
@@ -63,10 +64,19 @@ def curve_index(dims: list[Column], bits: int = BITS) -> Column:
 
 
 def dimensions(source: Column, lang: Column, size: Column, bits: int = BITS) -> list[Column]:
-    """Source and language by hash, null as 0, and the length on a logarithmic scale."""
+    """Source and language by the place of their value (0 to 1; null as -1), and the length on a logarithmic scale."""
     top = (1 << bits) - 1
-    by_hash = lambda c: F.when(c.isNull(), 0).otherwise(F.xxhash64(c).bitwiseAND(F.lit(top))).cast("int")
-    return [by_hash(source), by_hash(lang), F.least(F.lit(top), F.floor(3 * F.log2(size))).cast("int")]
+    by_place = lambda c: F.when(c < 0, 0).otherwise(F.least(F.lit(top), 1 + F.floor(c * top))).cast("int")
+    return [by_place(source), by_place(lang), F.least(F.lit(top), F.floor(3 * F.log2(size))).cast("int")]
+
+
+def _places(rows: DataFrame, column: str) -> DataFrame:
+    """(value, place) of the distinct values of a column: their rank in order over their number.
+
+    They are dealt out and ranked as rows are, however many there are.
+    """
+    values = ordered(rows.select(F.col(column).alias("value")).where("value is not null").distinct(), ["value"])
+    return values.select("value", (F.col("rank") / F.col("total")).alias("place"))
 
 
 def ordered(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -95,6 +105,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFr
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     made = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(t) + HEADER).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
+    for c in ("source", "lang"):
+        known = _places(docs.select(F.col(c).cast("string").alias(c)), c)
+        made = made.join(known.withColumnRenamed("value", c), c, "left").withColumn(c, F.coalesce("place", F.lit(-1.0))).drop("place")
     made = made.select("doc_id", "size", "text_crc32", curve_index(dimensions(F.col("source"), F.col("lang"), F.col("size"))).alias("curve"), F.xxhash64("doc_id").alias("__h"))
     ranked = ordered(made, ["curve", "__h", "doc_id", "text_crc32"])
     ranked = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div total as int)"))

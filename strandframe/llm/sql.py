@@ -86,7 +86,7 @@ with talks as (
   select floor(conv_id / 2)::bigint as pair_id, max(conv_id) filter (conv_id % 2 = 0) as chosen_id, max(conv_id) filter (conv_id % 2 <> 0) as rejected_id,
     any_value(turns) filter (conv_id % 2 = 0) as c, any_value(turns) filter (conv_id % 2 <> 0) as r
   from talks group by 1
-), limits as (select *, coalesce(least(len(c), len(r)) - 1, 0) as most from (select *, c is null or r is null as lone from pairs)),
+), limits as (select *, coalesce(least(len(c), len(r)), 0) as most from (select *, c is null or r is null as lone from pairs)),
 shared as (select *, case when lone then 0 else list_min(list_filter(range(0, most + 1), lambda i: i = most or c[i + 1] <> r[i + 1])) end::int as n_shared from limits),
 cut as (select *, c[n_shared + 1 :] as own_c, r[n_shared + 1 :] as own_r from shared)
 select pair_id, chosen_id, rejected_id, n_shared, case when n_shared > 0 then {_rendered('c[1 : n_shared]')} else '' end as prompt,

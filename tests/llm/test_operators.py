@@ -118,6 +118,53 @@ def test_fingerprint_orders_texts():
     assert fingerprint.bucket_counts(b"abcdef").sum() == 2 * 6 and fingerprint.bucket_counts(b"abcd").sum() == 0
 
 
+def plain_digest(data):
+    """A digest by its description, a triplet at a time."""
+    counts = [0] * 256
+    padded = data + b"\0" * (5 - len(data)) if 0 < len(data) < 5 else data
+    for i in range(len(padded) - 4):
+        for (j, k), salt in zip([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)], fingerprint._SALTS.tolist()):
+            x = fingerprint._FIRST[padded[i]] ^ fingerprint._SECOND[padded[i + j]] ^ salt
+            counts[int(fingerprint._SPREAD[x]) ^ int(fingerprint._THIRD[padded[i + k]])] += 1
+    at = sorted(counts)
+    q = at[63], at[127], at[191]
+    codes = "".join(format(sum(c > x for x in q), "02b") for c in counts)
+    length = min(255, round(8 * np.log2(len(data) + 1)))
+    ratios = [int(100 * x / q[2]) % 16 if q[2] else 0 for x in q[:2]]
+    return f"{length:02x}{ratios[0]:x}{ratios[1]:x}{int(codes, 2):0128x}"
+
+
+def plain_difference(a, b):
+    score = abs(int(a[:2], 16) - int(b[:2], 16))
+    score = score if score <= 1 else 6 * score
+    for x, y in zip(a[2:4], b[2:4]):
+        gap = abs(int(x, 16) - int(y, 16))
+        score += min(gap, 16 - gap)
+    pairs = [[int(format(int(d[4:], 16), "0512b")[i : i + 2], 2) for i in range(0, 512, 2)] for d in (a, b)]
+    weigh = lambda x, y: [0, 1, 2, 6][abs(x - y)]
+    apart = sum(map(weigh, *pairs))
+    chance = sum(weigh(x, y) for x in pairs[0] for y in pairs[1]) / 256
+    return min(640, score + (round(640 * apart / chance) if apart else 0))
+
+
+def test_digests_by_their_description():
+    rng = random.Random(31)
+    texts = [b"", b"a", b"b", b"ab", b"abc", b"abcd", b"wxyz", b"abcde", bytes(7), *(bytes(rng.randrange(256) for _ in range(rng.randrange(400))) for _ in range(12)), words(rng, 200).encode()]
+    digests = [fingerprint.digest(t) for t in texts]
+    assert digests == [plain_digest(t) for t in texts]
+    assert all(fingerprint.difference(a, b) == plain_difference(a, b) for a in digests for b in digests[:14])
+
+
+def test_short_and_unrelated_texts_are_unlike():
+    rng = random.Random(32)
+    near = lambda a, b: fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b))
+    short = [b"", b"a", b"b", b"ab", b"xy", b"abcd", b"wxyz", b"12345678"]
+    assert all(near(x, x) == 1 for x in short) and len({fingerprint.digest(x) for x in short}) == len(short)
+    assert near(b"abcd", b"wxyz") < 0.2 and near(b"", b"ab") < 0.2 and near(b"abcd", b"abcx") > near(b"abcd", b"wxyz")
+    unlike = [near(rng.randbytes(2000), rng.randbytes(2000)) for _ in range(20)]
+    assert max(unlike) < 0.2
+
+
 # -- 3: n-gram join
 
 
@@ -402,6 +449,20 @@ def test_shards(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_shards_prune_by_every_dimension(spark):
+    """A reader that knows each shard's least and greatest source, language and size skips most shards."""
+    rng = random.Random(14)
+    rows = [(k, "x" * int(2 ** rng.uniform(1, 12)), rng.choice(["de", "en", "fr", "it"]), f"host{rng.randrange(12):02}") for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    held = sharding.sharded(df).select("doc_id", "shard", "size").join(df.drop("text"), "doc_id")
+    ranges = held.groupBy("shard").agg(*(f(c).alias(f"{n}_{c}") for c in ("source", "lang", "size") for n, f in (("least", F.min), ("most", F.max)))).collect()
+    assert len(ranges) == 40
+    read = lambda c, v: sum(r[f"least_{c}"] <= v <= r[f"most_{c}"] for r in ranges) / 40
+    assert sum(read("source", f"host{k:02}") for k in range(12)) / 12 < 0.45
+    assert sum(read("lang", x) for x in ("de", "en", "fr", "it")) / 4 < 0.6
+    assert sum(read("size", 2**k) for k in range(5, 12)) / 7 < 0.6
+
+
 # -- 10: chat
 
 
@@ -416,11 +477,16 @@ def test_preferences(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
     got = {r.pair_id: r for r in chat.formatted(chat.neighbours(chat.conversations(df))).collect()}
     show = lambda turns: "".join(f"<|{r}|>\n{x or ''}\n<|end|>\n" for r, x in turns)
-    assert [got[k].n_shared for k in (0, 1, 2, 3)] == [3, 1, 0, 0]
+    assert [got[k].n_shared for k in (0, 1, 2, 3)] == [3, 2, 0, 0]
     assert got[0].prompt == show(talks[0][:3]) and got[0].chosen_completion == show(talks[0][3:]) and got[0].rejected_completion == show(talks[1][3:])
     for k in (0, 1, 3):
         assert got[k].prompt + got[k].chosen_completion == show(talks[2 * k]) and got[k].prompt + got[k].rejected_completion == show(talks[2 * k + 1])
+    assert got[1].prompt == show(talks[2]) and got[1].chosen_completion == got[1].rejected_completion == "" and got[1].chosen_mask == []
     assert got[2].rejected_completion is None and got[2].chosen_completion == show(talks[4]) and got[2].prompt == ""
     s = got[0].rejected_mask[0]
     assert len(got[0].rejected_mask) == 1 and got[0].rejected_completion[s.start : s.end] == "bad\n<|end|>\n"
     assert chat.formatted(chat.neighbours(chat.conversations(df.limit(0)))).count() == 0
+    begun = spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], [("user", "a")], "mine")], "limit int, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string")
+    row = chat.formatted(begun).first()
+    assert (row.limit, row.n_shared, row.prompt, row.rejected_completion, row.rejected_mask) == (1, 1, show([("user", "a")]), "", [])
+    assert row.chosen_completion == show([("assistant", "b")]) and chat.formatted(begun).columns.count("prompt") == 1
