@@ -5,6 +5,12 @@ Spark's FP-growth mines the combinations of their tokens (host labels, path word
 and query keys) with the label.  Rules below a confidence or support are pruned,
 as are rules that a shorter one with no less confidence contains.  An inverted
 index from each rule's rarest token to the rule matches the other URLs.
+
+The number of combinations would double with each token that always comes with
+others, so before mining tokens are reduced without loss: those too rare for any
+rule are left out; those that one verdict alone has are rules by themselves, and
+pruning would drop all longer ones; and tokens of the same rows are one item, which
+any of them stands for when a rule is matched.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm._shared import prepare_python
+from strandframe.llm._shared import fresh, prepare_python
 
 #: (rule, verdict): host, then the beginning of the path
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -58,24 +64,53 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 @dataclass
 class Mined:
-    tokens: frozenset
+    tokens: frozenset  # items: each is the name of a class of tokens
     verdict: str
     confidence: float
     support: float
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Mined]:
-    """The pruned association rules of ``labelled(tokens, label)``.
+def _item_of(labelled: DataFrame, support: float) -> tuple[dict[str, str], list[Mined]]:
+    """The item of each token that mining needs, and the rules of tokens that one verdict alone has.
 
-    What comes to the driver are token combinations in at least ``support`` of the
+    What comes to the driver are tokens in at least ``support`` of the rows: they are
+    at most the tokens of an average row over ``support``.
+    """
+    rows = labelled.count()
+    each = labelled.select("label", F.xxhash64("tokens").cast("decimal(38,0)").alias("row"), F.explode(F.array_distinct("tokens")).alias("token"))
+    # the sum of the hashes of a token's rows tells sets of rows apart
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"))
+    items, pure, named = {}, [], {}
+    for r in sorted(counted.where(F.col("n") >= support * rows).collect(), key=lambda r: r["token"]):
+        if r["least"] == r["most"]:
+            pure.append(Mined(frozenset([r["token"]]), r["least"], 1.0, r["n"] / rows))
+            items[r["token"]] = r["token"]
+        else:
+            items[r["token"]] = named.setdefault((r["n"], r["rows"]), r["token"])
+    return items, pure
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[list[Mined], dict[str, str]]:
+    """The pruned association rules of ``labelled(tokens, label)``, and the item that each token counts as.
+
+    What comes to the driver are item combinations in at least ``support`` of the
     rows: their number depends on that share, not on the number of rows.
     """
     if labelled.isEmpty():
-        return []
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit("="), "label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).collect()
-    found = sorted((Mined(frozenset(r["antecedent"]), r["consequent"][0][1:], r["confidence"], r["support"]) for r in rules), key=lambda m: (len(m.tokens), sorted(m.tokens), m.verdict))
+        return [], {}
+    items, found = _item_of(labelled, support)
+    alone = {t for m in found for t in m.tokens}
+    mixed = {t: i for t, i in items.items() if t not in alone}
+    if mixed:
+        def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [[*sorted({mixed[t] for t in tokens if t in mixed}), "=" + label] for tokens, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["items"])
+
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select("tokens", "label").mapInArrow(reduced, "items array<string>"))
+        rules = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).collect()
+        found += [Mined(frozenset(r["antecedent"]), r["consequent"][0][1:], r["confidence"], r["support"]) for r in rules]
+    found.sort(key=lambda m: (len(m.tokens), sorted(m.tokens), m.verdict))
     kept: list[Mined] = []
     holding: dict[str, list[Mined]] = defaultdict(list)
     for m in found:
@@ -84,7 +119,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         kept.append(m)
         for t in m.tokens:
             holding[t].append(m)
-    return kept
+    return kept, items
 
 
 def judged(pages: DataFrame, url: str = "url", rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -98,12 +133,13 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, support: float = SUP
     """
     prepare_python(pages.sparkSession)
     names = ("host", "path", "rule", "verdict", "confidence")
-    u = F.col("__url")
     rest = [c for c in pages.columns if c not in names]
-    split = pages.select(*rest, F.col(url).cast("string").alias("__url")).withColumn("host", host_of(u)).withColumn("path", path_of(u))
+    raw, marked = fresh(pages, "url_text", "url_tokens")
+    u = F.col(raw)
+    split = pages.select(*rest, F.col(url).cast("string").alias(raw)).withColumn("host", host_of(u)).withColumn("path", path_of(u))
     name, says = listed_rule(F.col("host"), F.col("path"), rules)
-    ruled = split.select("*", name.alias("rule"), says.alias("verdict"), tokens_of(u, F.col("host"), F.col("path")).alias("__tokens")).drop("__url")
-    mined = mine(ruled.where("verdict is not null").select(F.col("__tokens").alias("tokens"), F.col("verdict").alias("label")), support, confidence)
+    ruled = split.select("*", name.alias("rule"), says.alias("verdict"), tokens_of(u, F.col("host"), F.col("path")).alias(marked)).drop(raw)
+    mined, items = mine(ruled.where("verdict is not null").select(F.col(marked).alias("tokens"), F.col("verdict").alias("label")), support, confidence)
     seen: dict[str, float] = defaultdict(float)
     for m in mined:
         for t in m.tokens:
@@ -111,15 +147,15 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, support: float = SUP
     index: dict[str, list[Mined]] = defaultdict(list)
     for m in mined:
         index[min(m.tokens, key=lambda t: (seen[t], t))].append(m)
-    schema = T.StructType([*(f for f in ruled.schema.fields if f.name != "__tokens"), T.StructField("confidence", T.DoubleType())])
+    schema = T.StructType([*(f for f in ruled.schema.fields if f.name != marked), T.StructField("confidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts, sure = batch.column("verdict").to_pylist(), []
-            for k, tokens in enumerate(batch.column("__tokens").to_pylist()):
+            for k, tokens in enumerate(batch.column(marked).to_pylist()):
                 sure.append(None)
                 if verdicts[k] is None:
-                    own = set(tokens)
+                    own = {items[t] for t in tokens if t in items}
                     fits = [m for t in own for m in index.get(t, ()) if m.tokens <= own]
                     best = max(fits, key=lambda m: (m.confidence, m.support, len(m.tokens), m.verdict == "block"), default=None)
                     verdicts[k] = best.verdict if best else DEFAULT

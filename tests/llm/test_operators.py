@@ -371,6 +371,60 @@ def test_mined_rules_decide_the_rest(spark):
     assert got[500] == "block" and got[501] == "allow"
 
 
+def plain_rules(rows, support, confidence):
+    """Minimal rules of (tokens, label) rows by going through all token combinations."""
+    n, found = len(rows), []
+    counts, labels = collections.Counter(), collections.Counter()
+    for tokens, label in rows:
+        own = sorted(set(tokens))
+        for mask in range(1, 1 << len(own)):
+            part = frozenset(t for i, t in enumerate(own) if mask >> i & 1)
+            counts[part] += 1
+            labels[part, label] += 1
+    for (part, label), k in labels.items():
+        if k >= support * n and k / counts[part] >= confidence:
+            found.append((part, label, k / counts[part], k / n))
+    return [r for r in found if not any(o[1] == r[1] and o[2] >= r[2] and o[0] < r[0] for o in found)]
+
+
+def plain_verdict(own, rules):
+    fits = [r for r in rules if r[0] <= set(own)]
+    best = max(((c, s, v) for _, v, c, s in fits), default=(0, 0, None))
+    return {v for _, v, c, s in fits if (c, s) == best[:2]} or {"allow"}
+
+
+def test_mined_rules_against_all_combinations(spark):
+    rng = random.Random(21)
+    for trial in range(3):
+        rows = []
+        for k in range(240):
+            label = rng.choice(["allow", "block"])
+            tokens = [t for t, p in zip("abcdefgh", rng.choices([0.1, 0.5, 0.9], k=8)) if rng.random() < (p if label == "block" else 0.5)]
+            tokens += ["x1", "x2", "x3"] if "a" in tokens else []
+            tokens += ["only"] if label == "block" and rng.random() < 0.2 else []
+            rows.append((tokens, label))
+        df = spark.createDataFrame(rows, "tokens array<string>, label string").repartition(3)
+        rules, items = url_filter.mine(df, 0.05, 0.8)
+        want = plain_rules(rows, 0.05, 0.8)
+        classes = collections.defaultdict(set)
+        for t, i in items.items():
+            classes[i].add(t)
+        assert {t for m in rules for i in m.tokens for t in classes[i]} == {t for r in want for t in r[0]}
+        seen = [(m.tokens, m.verdict, m.confidence, m.support) for m in rules]
+        for _ in range(300):
+            own = [t for t in [*"abcdefgh", "x1", "x2", "x3", "only"] if rng.random() < 0.4]
+            assert plain_verdict({items[t] for t in own if t in items}, seen) & plain_verdict(own, want), own
+
+
+def test_tokens_that_come_together_do_not_multiply(spark):
+    """A path of many words in every URL of both verdicts would give 2 ** 40 combinations."""
+    path = "/".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(k, f"http://h.com/{'fr' if k % 2 else 'de'}/{path}") for k in range(200)] + [(900, f"http://x.net/fr/{path}"), (901, f"http://x.net/de/{path}")]
+    df = spark.createDataFrame([(i, u, 1, 2) for i, u in rows], "page_id long, url string, url_tokens int, url_text int")
+    got = {r.page_id: r for r in url_filter.judged(df).collect()}
+    assert got[900].verdict == "allow" and got[901].verdict == "block" and got[901].rule is None and got[900].url_tokens == 1
+
+
 # -- 8: mixing
 
 
