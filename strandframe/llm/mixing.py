@@ -12,10 +12,12 @@ still owes a source is appended, so each source gives its target to the word.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.llm._shared import staged
+from strandframe.llm._shared import fresh, staged
 
 WEIGHTS = (5, 2, 1)  #: of the sources by name, repeating
 SHARE = 1.5  #: words of the mix, as a multiple of all words
@@ -23,8 +25,9 @@ MOST_PASSES = 2
 LARGEST_BLOCK = 65536  #: words
 SLOTS = 16384  #: of a mix whose blocks are smaller than that
 GOLDEN = 0.6180339887498949
-_BUCKETS = 10  #: bits of the shuffled order that make a bucket of documents
-_CHUNK = 65536  #: slots ranked together
+_IN_BUCKET = 16384  #: documents of the shuffled order that are summed up together, about
+_CHUNK, _CHUNKS = 256, 100_000  #: slots ranked together at least, and chunks at most
+_SPACES = r"[^\x20\x09-\x0D]+"
 
 
 def _key(c: str) -> Column:
@@ -73,7 +76,8 @@ def schedule(sources: DataFrame) -> DataFrame:
     spans = placed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.least(F.floor(F.col("high") / width), F.lit(cells - 1))))) if n else placed.withColumn("cell", F.lit(0).cast("long"))
     points = spark.range(n).select(F.col("id").alias("slot"), (F.lit(float(n)) * ((F.col("id") * F.lit(GOLDEN)) % 1.0)).alias("at"))
     points = points.withColumn("cell", F.least(F.floor(F.col("at") / (width or 1)), F.lit(cells - 1)))
-    met = points.join(spans.select("cell", "low", "high", "number"), "cell").where("at >= low and at < high").select("slot", "number", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
+    chunk = max(_CHUNK, -(-n // _CHUNKS))
+    met = points.join(spans.select("cell", "low", "high", "number"), "cell").where("at >= low and at < high").select("slot", "number", F.floor(F.col("slot") / chunk).alias("chunk"))
     counts = met.groupBy("number", "chunk").agg(F.count("*").alias("n"))
     counts = counts.withColumn("base", F.sum("n").over(Window.partitionBy("number").orderBy("chunk")) - F.col("n"))
     ranked = met.withColumn("in_chunk", F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot"))).join(counts.select("number", "chunk", "base"), ["number", "chunk"])
@@ -110,13 +114,14 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     sizes = docs.select(
-        "doc_id", F.col(source).cast("string").alias("source"), F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        "doc_id", F.col(source).cast("string").alias("source"), F.regexp_count(t, F.lit(_SPACES)).cast("long").alias("size"),
         F.xxhash64(t).alias("text_hash"), F.xxhash64(F.lit("mix"), "doc_id").alias("order"),
     )
     sizes = staged(sizes, "sizes")
+    bits = max(1, math.ceil(math.log2(max(sizes.count() / _IN_BUCKET, 1))))  # buckets of one size, however many rows there are
     sources = staged(targets(sizes.select("source", "size")), "sources")
     known = sources.select(_key("source").alias("k"), "number", "source_size", "target", "block")
-    own = sizes.withColumn("k", _key("source")).join(known, "k").drop("k").withColumn("bucket", F.shiftrightunsigned("order", 64 - _BUCKETS))
+    own = sizes.withColumn("k", _key("source")).join(known, "k").drop("k").withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
     # the words before a document: those of earlier buckets, then those before it in its own
     sums = own.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("number").orderBy("bucket")) - F.col("n")).drop("n")
@@ -133,15 +138,46 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
     return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", sum(each[1:], each[0]).cast("long").alias("taken"), *(c.cast("long").alias(f"taken_{p + 1}") for p, c in enumerate(each)))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # a piece ends where a word ends
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of the mix, columns as they are: a row once for each pass that takes at least half of its words.
+    """The rows of the mix, columns as they are: a row once for each pass that takes words of it.
 
+    A pass takes a source's documents whole but for its last one, of which it takes
+    the first words: there the text ends after them, and ``n_chars``, if there is such
+    a column, says its new length.  So the words of the rows are those of the mix.
     Rows without words are left out.  Rows that agree in doc_id, source and text
-    come as often as they are there, each by the words of the first of them.
+    take words one after another.
     """
-    plan = mixed(docs).withColumn("copies", F.expr("cast(size > 0 and 2 * taken_1 >= size as int) + cast(size > 0 and 2 * taken_2 >= size as int)"))
-    plan = plan.groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("copies")).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "copies").withColumn("__pass", F.explode(F.expr("sequence(1, copies)"))).drop("copies")
+    words = [f"taken_{p + 1}" for p in range(MOST_PASSES)]
+    plan = mixed(docs).groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("rows"), F.max("size").alias("size"), *(F.sum(w).alias(w) for w in words))
+    plan = staged(plan.where("taken_1 > 0"), "mix")
+    names = fresh(docs, "mix_id", "mix_source", "mix_hash", "mix_rows", "mix_size", "mix_words", "mix_turn")
+    key, of = names[:3], dict(zip(("rows", "size", "words", "turn"), names[3:]))
+    known = plan.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_hash").alias(key[2]), F.col("rows").alias(of["rows"]), F.col("size").alias(of["size"]), F.array(*words).alias(of["words"]))
     t = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(t) == F.col("__hash"))
-    return docs.join(plan, same).select(*(docs[c] for c in docs.columns))
+    same = docs["doc_id"].eqNullSafe(F.col(key[0])) & docs["source"].cast("string").eqNullSafe(F.col(key[1])) & (F.xxhash64(t) == F.col(key[2]))
+    # words of a row: all rows give all, or the one row there is gives some; else rows take turns
+    even = F.forall(F.col(of["words"]), lambda w: (w == 0) | (w == F.col(of["rows"]) * F.col(of["size"])))
+    simple = (F.col(of["rows"]) == 1) | even
+
+    def taken(rows: DataFrame, turn: Column) -> DataFrame:
+        share = F.transform(F.col(of["words"]), lambda w: F.greatest(F.lit(0), F.least(F.col(of["size"]), w - turn * F.col(of["size"]))))
+        each = rows.withColumn(of["words"], F.explode(F.filter(share, lambda w: w > 0)))
+        part = F.col(of["words"]) < F.col(of["size"])
+        cut = F.when(part, first_words(F.col("text").cast("string"), F.col(of["words"]))).otherwise(F.col("text"))
+        out = {c: cut if c == "text" else F.when(part, F.length(cut)).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in docs.columns}
+        return each.select(*(x.cast(docs.schema[c].dataType).alias(c) for c, x in out.items()))
+
+    whole = F.when(even & (F.col(of["rows"]) > 1), F.transform(F.col(of["words"]), lambda w: F.when(w > 0, F.col(of["size"])).otherwise(F.lit(0).cast("long")))).otherwise(F.col(of["words"]))
+    result = taken(docs.join(known.where(simple).withColumn(of["words"], whole), same), F.lit(0))
+    odd = known.where(~simple)
+    if odd.isEmpty():
+        return result
+    turns = Window.partitionBy(*key).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    met = docs.join(odd, same).withColumn(of["turn"], F.row_number().over(turns) - 1)
+    return result.unionByName(taken(met, F.col(of["turn"])))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -456,10 +457,38 @@ def test_mixing(spark, docs):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
     assert sorted(map(str, mixing.mixed(docs.repartition(5)).collect())) == sorted(map(str, got))
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mixed(docs.where("text is null")).agg(F.sum("taken")).first()[0] == 0
-    mix = mixing.mix(docs.dropDuplicates(["doc_id"]))
-    assert mix.columns == docs.columns
-    copies = collections.Counter(r.doc_id for r in mix.collect())
-    assert copies == collections.Counter({r.doc_id: n for r in mixing.mixed(docs.dropDuplicates(["doc_id"])).collect() if (n := (2 * r.taken_1 >= r["size"] > 0) + (2 * r.taken_2 >= r["size"] > 0))})
+
+
+def test_mix_gives_the_words_of_the_plan(spark, docs):
+    """Every row's words and whole texts but for the ends of passes, repeated rows one after another."""
+    count = lambda t: len([w for w in re.split("[\x20\x09-\x0d]+", t or "") if w])
+    same = [(77, " one two  three four\nfive ", "en", "s9", 27)] * 7 + [(78, "six seven", "en", "s9", 9)]
+    for df in (docs, docs.unionByName(spark.createDataFrame(same, DOCS)), docs.where("doc_id is null or doc_id < 300").limit(9)):
+        df = df.cache()
+        out = mixing.mix(df)
+        assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+        rows, want, texts = out.collect(), collections.Counter(), collections.defaultdict(set)
+        for r in mixing.mixed(df).collect():
+            want[r.doc_id, r.source] += r.taken
+        got = collections.Counter()
+        for r in rows:
+            got[r.doc_id, r.source] += count(r.text)
+        assert got == +want
+        for r in df.collect():
+            texts[r.doc_id, r.source].add(r.text or "")
+        parts = [r for r in rows if r.text not in texts[r.doc_id, r.source]]
+        assert len(parts) <= 2 * 5 and all(any(t.startswith(r.text) for t in texts[r.doc_id, r.source]) and r.n_chars == len(r.text) for r in parts)
+        assert sorted(map(str, mixing.mix(df.repartition(4)).collect())) == sorted(map(str, rows))
+    assert mixing.mix(docs.limit(0)).count() == 0
+    clash = mixing.mix(docs.select("doc_id", "text", "source", F.lit("mine").alias("mix_words"), F.lit(2).alias("rows")))
+    assert clash.columns == ["doc_id", "text", "source", "mix_words", "rows"] and clash.where("mix_words <> 'mine'").count() == 0
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([(t, n) for t in (" a bb\tc\n", "a", "  ", "x\u00a0y z", "w " * 9000) for n in range(4)], "t string, n long")
+    for r in df.select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("cut")).collect():
+        spans = [m.end() for m in re.finditer("[^\x20\x09-\x0d]+", r.t)]
+        assert r.cut == ("" if r.n == 0 else r.t[: spans[r.n - 1]] if r.n <= len(spans) else r.t), (r.t[:9], r.n)
 
 
 def test_schedule_is_even(spark):
