@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, once for each pass that takes at least half of their words."""
+    """The documents of the mix, once for each pass that takes words of them, cut where a pass ends."""
     return mixing.mix(docs)
 
 
