@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandframe.llm import _tokens as W
-from strandframe.llm._shared import prepare_python
+from strandframe.llm._shared import fresh, prepare_python
 from strandframe.llm.toxicity import fold
 
 TRAIN_ROWS = 2000  #: labelled rows of the fit: those with the least hash of doc_id
@@ -57,7 +57,7 @@ class Model:
         for a, b in W.slices(texts, max(1 << 16, (1 << 22) // len(self.languages))):
             data, offsets = W.buffers(texts[a:b])
             total, count = np.zeros((b - a, len(self.languages))), np.zeros(b - a)
-            step = 1 << 20  # a single long row comes in parts
+            step = max(1 << 12, (1 << 20) // len(self.languages))  # a single long row comes in parts
             for n in GRAMS:
                 for at in range(0, max(0, len(data) - n + 1), step):
                     to = min(len(data) - n + 1, at + step)
@@ -72,11 +72,17 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of the rows with a language, without the held-out fold; None if there is none."""
+    """A model of the documents with a language, without the held-out fold; None if there is none.
+
+    A doc_id with several rows is taken once.  What comes to the driver of a document
+    is at most a share for each of the ``2 ** BITS`` subwords, however long its text is.
+    """
     prepare_python(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    chosen = known.select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(rows)  # bounded, so it is broadcast
-    picked = known.select(F.col("doc_id").alias("__id"), F.col(lang).cast("string").alias("y"), F.col(text).cast("string").alias("x")).join(F.broadcast(chosen), "__id").select("y", "x")
+    chosen = known.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it is broadcast
+    found = known.select(F.col("doc_id").alias("id"), F.col(lang).cast("string").alias("y"), F.col(text).cast("string").alias("x")).join(F.broadcast(chosen), "id")
+    # one row for each document, whatever it is repeated: the one of the least hash
+    picked = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("x", "y").alias("h"), "y", "x")).alias("t")).select("t.y", "t.x")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +159,14 @@ def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFr
     prepare_python(df.sparkSession)
     names = ("lang_pred", "score", "rejected")
     kept = [f for f in df.schema.fields if f.name not in names]
+    (letter,) = fresh(df, "letters")
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            letters = np.asarray(batch.column("__letters"))
+            letters = np.asarray(batch.column(letter))
             if model:
                 p = model.probabilities(batch.column(text).cast(pa.string()))
                 best, score = p.argmax(1), p.max(1) if len(p) else np.zeros(0)
@@ -171,7 +178,7 @@ def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFr
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)
 
-    return df.withColumn("__letters", has_letter(F.col(text))).mapInArrow(run, schema)
+    return df.withColumn(letter, has_letter(F.col(text))).mapInArrow(run, schema)
 
 
 def has_letter(text: Column) -> Column:

@@ -7,8 +7,10 @@ estimates how often each voter fires in either class, and how voters are
 correlated within a class, so that voters which repeat each other count less.
 Its posterior labels train a linear classifier on the marks and patterns.
 
-The fit uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of
-doc_id; scoring goes through every whole text.
+The fit uses at most ``TRAIN_ROWS`` labelled documents, those with the least hash of
+doc_id.  Their marks are counted by Spark; the driver gets the ``MOST_MARKS`` that
+tell most, and which of them each document has.  Scoring goes through every whole
+text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandframe.llm import _tokens as W
-from strandframe.llm._shared import prepare_python
+from strandframe.llm._shared import prepare_python, staged
 
 TRAIN_ROWS = 5000
 FOLDS, HELD_OUT = 5, 0
@@ -137,64 +139,70 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> tuple[np.n
     return post, estimates
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "toxic") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str = "toxic", most_marks: int = MOST_MARKS) -> Model | None:
     """A model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, without the held-out fold.
 
     Null labels are left out; a doc_id with several labels is toxic if one says so,
-    and a repeated document is taken once for each row.  Without rows of both
-    classes there is no model.
+    and one with several rows is taken once, with the text of the least hash.
+    Without documents of both classes there is no model.
     """
     prepare_python(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)  # bounded, so it is broadcast
-    picked = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__y", "text")
+    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so it is broadcast
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
+    # one text for each document, whatever it is repeated
+    one = found.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    picked = staged(one.select(F.xxhash64("id").alias("turn"), F.col("id").cast("string").alias("id"), "y", F.col("t.text").alias("text")), "toxicity")
+    of = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(of) < 2:
+        return None
+    n1 = sum(n for y, n in of.items() if y)
+    n0 = sum(of.values()) - n1
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, y in enumerate(batch.column(0).to_pylist()):
+                data, offsets = W.buffers(batch.column(1)[k : k + 1])
+                own = [np.unique(h) for _, h in _marks(data, offsets)] if len(data) else []
+                own = np.unique(np.concatenate(own)).view(np.int64) if own else np.zeros(0, np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), y, np.int32))], names=["mark", "y"])
+
+    counted = picked.select("y", "text").mapInArrow(marks, "mark long, y int").groupBy("mark").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n0 + 1))
+    least = max(3, round(0.01 * n1))
+    gains = counted.where(F.col("toxic") >= least).withColumn("odds", odds).where("odds > 2").select("mark", (F.col("toxic") * F.col("odds")).alias("gain"))
+    best = np.array([r["mark"] for r in gains.orderBy(F.desc("gain"), "mark").limit(most_marks).collect()], np.int64).view(np.uint64)
+    vocabulary = np.sort(best)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, shapes = [], []
+            has, shapes = [], []
             for k in range(len(batch)):
-                data, offsets = W.buffers(batch.column(1)[k : k + 1])
-                found = [h for _, h in _marks(data, offsets)] if len(data) else []
-                hashes.append(np.unique(np.concatenate(found)).tobytes() if found else b"")
+                data, offsets = W.buffers(batch.column(3)[k : k + 1])
+                bits = np.zeros(len(vocabulary), bool)
+                for _, hashes in _marks(data, offsets) if len(data) and len(vocabulary) else ():
+                    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+                    bits[at[vocabulary[at] == hashes]] = True
+                has.append(np.packbits(bits).tobytes())
                 shapes.append(_patterns(data, offsets)[0].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], names=["y", "marks", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(has, pa.binary()), pa.array(shapes, pa.list_(pa.float64()))], names=["turn", "id", "y", "has", "shape"])
 
-    got = picked.mapInArrow(features, "y int, marks binary, shape array<double>").toArrow()
-    y = np.asarray(got["y"].to_numpy(), int)
-    if not len(y) or y.min() == y.max():
-        return None
-    found = [np.frombuffer(x, np.uint64) for x in got["marks"].to_pylist()]
-    shape = np.array(got["shape"].to_pylist())
-    order = np.argsort([int(x.sum(dtype=np.uint64)) for x in found], kind="stable")  # whatever order the tasks came in
-    y, shape, found = y[order], shape[order], [found[i] for i in order]
-    return fit(found, shape, y)
+    got = picked.select("turn", "id", "y", "text").mapInArrow(features, "turn long, id string, y int, has binary, shape array<double>").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["turn"], r["id"] or ""))  # whatever order the tasks came in
+    x = np.array([np.unpackbits(np.frombuffer(r["has"], np.uint8), count=len(vocabulary)) for r in got], np.float32).reshape(len(got), len(vocabulary))
+    return fit(x, np.array([r["shape"] for r in got]), np.array([r["y"] for r in got]), vocabulary, np.searchsorted(vocabulary, best))
 
 
-def fit(found: list[np.ndarray], shape: np.ndarray, y: np.ndarray) -> Model:
-    """found: each row's distinct mark hashes; shape: its patterns; y: its label."""
+def fit(x: np.ndarray, shape: np.ndarray, y: np.ndarray, marks: np.ndarray, best: np.ndarray) -> Model:
+    """x: which marks each row has; shape: its patterns; y: its label; best: the places of the marks, those that tell most first."""
     n, prior = len(y), float(np.clip(y.mean(), 0.01, 0.99))
-    row = np.repeat(np.arange(n), [len(x) for x in found])
-    every = np.concatenate(found)
-    vocabulary, at = np.unique(every, return_inverse=True)
-    toxic = np.bincount(at, weights=y[row], minlength=len(vocabulary))
-    clean = np.bincount(at, weights=1 - y[row], minlength=len(vocabulary))
-    n1, n0 = y.sum(), n - y.sum()
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    least = max(3, round(0.01 * n1))
-    gain = np.where((toxic >= least) & (odds > 2), toxic * odds, 0)
-    best = np.argsort(-gain, kind="stable")[:MOST_MARKS]
-    best = best[gain[best] > 0]
-    marks = np.sort(vocabulary[best])
-    place = np.full(len(vocabulary), -1)
-    place[np.searchsorted(vocabulary, marks)] = np.arange(len(marks))
-    use = place[at] >= 0
-    x = np.zeros((n, len(marks)), np.float32)
-    x[row[use], place[at[use]]] = 1
-
     # voters: marks dealt out from the strongest on, so that each has some of every language
     turn = np.empty(len(marks), int)
-    turn[place[best]] = np.arange(len(best)) % VOTERS
+    turn[best] = np.arange(len(best)) % VOTERS
     lexicon = np.stack([x[:, turn == v].any(1) for v in range(VOTERS)], 1) if len(marks) else np.zeros((n, 1), bool)
     pattern = shape > np.maximum(np.quantile(shape, 0.9, axis=0), 1e-9)
     post, estimates = label_model(np.concatenate([lexicon, pattern], 1), prior)

@@ -321,6 +321,38 @@ def test_toxicity_held_out(spark):
     assert kept.columns == ["doc_id", "text", "score"] and 1000 < kept.count() < 1400
 
 
+def test_training_of_repeated_and_long_rows(spark):
+    """A document counts once however often it is there, and a long text moves no more than its marks."""
+    rng = random.Random(17)
+    rows = [(k, words(rng, 40) + (" grumblo snarfit" if k % 4 == 0 else ""), int(k % 4 == 0), rng.choice(["xx", "yy"])) for k in range(300)]
+    schema = "doc_id long, text string, toxic int, lang string"
+    df = spark.createDataFrame(rows, schema)
+    again = df.unionByName(df.where("doc_id < 50").crossJoin(spark.range(200)).drop("id"))
+    labels = df.select("doc_id", "toxic")
+    once, often = toxicity.train(df, labels), toxicity.train(again, labels.unionByName(labels))
+    assert (once.marks == often.marks).all() and np.allclose(once.weights, often.weights)
+    assert np.allclose(langid.train(df).table, langid.train(again).table)
+    long = spark.createDataFrame([(9001, " ".join(f"w{i}" for i in range(1_000_000)), 1, "xx"), (9002, None, 0, None)], schema)
+    both = df.unionByName(long)
+    model = toxicity.train(both, both.select("doc_id", "toxic"))
+    assert len(model.marks) <= toxicity.MOST_MARKS and toxicity.scored(long, model).count() == 2
+    assert langid.identified(long, langid.train(both)).count() == 2
+
+
+def test_many_languages_in_bounded_memory(spark):
+    import pyarrow as pa
+
+    rng = np.random.RandomState(2)
+    model = langid.Model([f"l{k:03}" for k in range(100)], rng.normal(size=(1 << langid.BITS, 100)).astype(np.float32), np.zeros(100, np.float32), 0.0)
+    texts = ["ab cd " * 60000, "short"]
+    whole = model.probabilities(pa.array(texts))
+    assert whole.shape == (2, 100) and np.allclose(whole.sum(1), 1)
+    small = langid.Model(model.languages[:2], model.table[:, :2], model.bias[:2], 0.0).probabilities(pa.array(texts))
+    assert np.allclose(whole[:, 0] / whole[:, 1], small[:, 0] / small[:, 1])
+    df = spark.createDataFrame([(1, "abc", "mine", True)], "doc_id long, text string, letters string, __letters boolean")
+    assert langid.identified(df, model).select("letters", "__letters").collect() == [("mine", True)]
+
+
 def test_label_model_finds_the_good_voters():
     rng = np.random.RandomState(3)
     y = rng.rand(3000) < 0.3
