@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm._shared import staged
+from strandframe.llm._shared import discard, staged
 
 MOST_ROUNDS = 60
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(least, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, name)
+        before, now = now, staged(small, name)
+        discard(before)
         # stars: no node has two edges down, and no centre has one itself
         twice = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         if twice.isEmpty() and now.select(F.col("v").alias("u")).join(now, "u", "left_semi").isEmpty():

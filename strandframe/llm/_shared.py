@@ -31,14 +31,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: what follows survives the loss of executors and sees
-    one evaluation of ``df`` only.  The folder is removed when the driver ends.
+    one evaluation of ``df`` only.  The folder is removed when the driver ends, or by
+    ``discard`` when nothing that is still to run reads it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged", None):
+            jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -57,7 +68,8 @@ def prepare_python(spark: SparkSession) -> None:
 
     Batches hold at most 8 MB and 2,000 rows: with Spark's own bounds, 64 MB and
     10,000 rows, the Python workers of a task take more memory than the heap leaves.
-    Smaller bounds set before stay.  The package's folder is added to the workers'
+    Smaller bounds set before stay; these two settings of the session stay lowered,
+    as plans are run after their operator returns.  The package's folder is added to the workers'
     path, which serves local sessions and clusters that have it at the same place.
     """
     for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):

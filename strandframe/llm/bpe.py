@@ -29,7 +29,7 @@ from strandframe.llm._shared import prepare_python
 from strandframe.llm._tokens import slices
 
 SHORT = 128  #: bytes of a word that the rank array serves
-KEPT = 200_000  #: words in the table
+KEPT, KEPT_CHARS = 200_000, 8 << 20  #: words in the table, and their characters
 _ADDED = "\udfff"  #: before an added token; no text holds it
 _NONE = 1 << 62
 _ID = (1 << 32) - 1
@@ -126,6 +126,7 @@ class ByteBpe:
         self._start = np.cumsum(self._length) - self._length
         self._all = np.frombuffer(b"".join(self._bytes.get(i, b"") for i in range(size)), np.uint8)
         self._definition, self._known = definition, {}
+        self._chars = 0
 
     @cached_property
     def _merges(self) -> dict[int, int]:
@@ -238,8 +239,10 @@ class ByteBpe:
         pieces = [self._pieces(t) for t in texts]
         known, here = self._known, set().union(*pieces)
         new = [w for w in here if w not in known]
-        if len(known) + len(new) > KEPT:  # those of the texts at hand stay
+        self._chars += sum(map(len, new))
+        if len(known) + len(new) > KEPT or self._chars > KEPT_CHARS:  # those of the texts at hand stay
             known = self._known = {w: known[w] for w in here if w in known}
+            self._chars = sum(map(len, here))
         plain = [w for w in new if w[:1] != _ADDED]
         known.update(zip(plain, self.merge([w.encode("utf-8", "surrogatepass") for w in plain])))
         known.update((w, array("i", [self._added[w[1:]]]).tobytes()) for w in new if w[:1] == _ADDED)

@@ -41,15 +41,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from strandframe.llm import _tokens as W
 from strandframe.llm._graph import components
-from strandframe.llm._shared import fresh, prepare_python, staged
+from strandframe.llm._shared import discard, fresh, prepare_python, staged
 
 LEAST_BITS, MOST_BITS = 20, 25  #: counters, as powers of two
 LOAD = 32  #: n-grams in a counter that the number of counters aims at
 SLICE = 1 << 12  #: counters in a row of the count table's shuffle
 BUCKET = 500_000  #: prefix n-grams that meet in one Python group, on average
-HELD = 1 << 20  #: prefix n-grams that a task deals out together
+HELD = 1 << 18  #: prefix n-grams that a task deals out together
 HOT_LEAST = 50_000  #: n-grams counted more often than this are dealt apart
 MAP_BITS = 23, 27  #: least and most bits of a map of documents, as powers of two
+TOGETHER = 256  #: pairs of one node that are verified by one task
 ORDERS = (1, 2, 3)
 
 
@@ -349,6 +350,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     frequent = posted.where("frequent").select("token", "id", "n", "pos")
     pivots = frequent.groupBy("token").agg(F.min(me).alias("pivot"), F.count("*").alias("members")).where("members > 1").select("token", "pivot")
     lists = staged(usual.unionByName(frequent.join(pivots, "token")), "postings")
+    discard(posted)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """(id, text) of the nodes of some pairs, each once."""
@@ -396,6 +398,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
         more = _verified(texts_of(second), second, held, size, num, den)
         if not more.isEmpty():
             joined = components(links.unionByName(more), "joined")
+        discard(second, more)
+    discard(lists, odd, first, links)
 
     # the least doc_id of each component, whatever its nodes are called
     own = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
@@ -411,10 +415,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
 def _verified(needed: DataFrame, pairs: DataFrame, held, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes that pass the other orders' filters and then link, as a table; ``needed`` has the texts."""
 
-    def side(key: str) -> DataFrame:
-        return needed.select(F.col("id").alias(key), F.col("text").alias(f"{key}_text"))
+    def with_text(pairs: DataFrame, key: str) -> DataFrame:
+        texts = needed.select(F.col("id").alias(key), F.col("text").alias(f"{key}_text"))
+        # pairs of a node that has many, as the pivot of a large group has, are dealt to several tasks
+        many = pairs.groupBy(key).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")).where("parts > 1")
+        usual = pairs.join(many, key, "left_anti").join(texts, key)
+        split = pairs.join(many, key).withColumn("part", F.pmod(F.xxhash64("b" if key == "a" else "a"), "parts").cast("int")).drop("parts")
+        shown = texts.join(many, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return usual.unionByName(split.join(shown, [key, "part"]).drop("part"))
 
-    whole = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "a_text", "b", "b_text")
+    whole = with_text(with_text(pairs, "b"), "a").select("a", "a_text", "b", "b_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, last, left, mine = held.value, None, None, []
