@@ -404,9 +404,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
     # the least doc_id of each component, whatever its nodes are called
     own = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     roots = named.select("d1", "d2", "node").join(joined.withColumnRenamed("id", "node"), "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("root"))
-    roots = roots.join(own, ["d1", "d2"])
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    roots = roots.select("d1", "d2", "root").join(least, "root").select("d1", "d2", "component_id")
+    if whole and not n_unclear:  # the least node of a component is its least doc_id
+        roots = roots.select("d1", "d2", F.col("root").cast(kind).alias("component_id"))
+    else:
+        roots = roots.join(own, ["d1", "d2"])
+        least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+        roots = roots.select("d1", "d2", "root").join(least, "root").select("d1", "d2", "component_id")
     return made.select("doc_id", "n", "d1", "d2").join(roots, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

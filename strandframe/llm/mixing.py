@@ -25,7 +25,7 @@ MOST_PASSES = 2
 LARGEST_BLOCK = 65536  #: words
 SLOTS = 16384  #: of a mix whose blocks are smaller than that
 GOLDEN = 0.6180339887498949
-_IN_BUCKET = 16384  #: documents of the shuffled order that are summed up together, about
+_IN_BUCKET, _MOST_BITS, _FULL_BUCKET = 64, 17, 1 << 20  #: documents of the shuffled order that are summed up together: few, until there are many buckets
 _CHUNK, _CHUNKS = 256, 100_000  #: slots ranked together at least, and chunks at most
 _SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -118,7 +118,9 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
         F.xxhash64(t).alias("text_hash"), F.xxhash64(F.lit("mix"), "doc_id").alias("order"),
     )
     sizes = staged(sizes, "sizes")
-    bits = max(1, math.ceil(math.log2(max(sizes.count() / _IN_BUCKET, 1))))  # buckets of one size, however many rows there are
+    power = lambda x: math.ceil(math.log2(max(x, 2)))
+    rows = sizes.count()
+    bits = max(min(power(rows / _IN_BUCKET), _MOST_BITS), power(rows / _FULL_BUCKET))
     sources = staged(targets(sizes.select("source", "size")), "sources")
     known = sources.select(_key("source").alias("k"), "number", "source_size", "target", "block")
     own = sizes.withColumn("k", _key("source")).join(known, "k").drop("k").withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))

@@ -30,18 +30,22 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness; null texts are empty, ties in doc_id follow the text."""
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document; rows of one doc_id with different texts are documents of their own."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document; null texts have no words, null sources are one host."""
     return quality.judged(table(spark, sf_dir, "documents")).drop("host_docs", "host_rate")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of each document; a null doc_id belongs to no fold, so its held_out is null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     held_out = toxicity.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
@@ -49,11 +53,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of each page; null URLs have an empty host and path and are allowed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judged(pages).select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document; a null doc_id belongs to no fold, so its held_out is null."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
     held_out = langid.fold(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT
@@ -61,10 +67,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and words taken of each document; null texts have size 0, null sources are one source, the last."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document; null texts have the header's size and the crc of nothing."""
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
