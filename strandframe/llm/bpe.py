@@ -6,6 +6,9 @@ deleted and the two neighbouring ranks refreshed.  Words that are not known yet
 take these steps together, each a row of two numpy arrays.  The scan is
 quadratic, so it serves words up to ``SHORT`` bytes; longer ones take the same
 merges from a heap.  Encoded words are kept in a bounded table.
+
+The driver reads the vocabulary and broadcasts the codec, as arrays.  A Python
+worker has it as long as its tasks use that broadcast, and no longer.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ import heapq
 import json
 import re
 import sys
-import uuid
 from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -22,7 +24,8 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from strandframe.llm._shared import prepare_python
@@ -120,30 +123,23 @@ class ByteBpe:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
         as_bytes = lambda s: bytes(back[c] for c in s) if all(c in back for c in s) else s.encode()
-        self._bytes = {i: as_bytes(s) for s, i in [*vocab.items(), *self._added.items()]}
-        size = max(self._bytes) + 1
-        self._length = np.array([len(self._bytes.get(i, b"")) for i in range(size)])
+        of_id = {i: as_bytes(s) for s, i in [*vocab.items(), *self._added.items()]}
+        size = max(of_id) + 1
+        self._length = np.array([len(of_id.get(i, b"")) for i in range(size)])
         self._start = np.cumsum(self._length) - self._length
-        self._all = np.frombuffer(b"".join(self._bytes.get(i, b"") for i in range(size)), np.uint8)
-        self._definition, self._known = definition, {}
+        self._all = np.frombuffer(b"".join(of_id.get(i, b"") for i in range(size)), np.uint8)
+        self._byte_ids = np.array([vocab[_byte_chars()[b]] for b in range(256)])
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        # left id and right id in one integer -> rank and id of both together in one integer
+        self._pair = _Pairs({vocab[a] << 32 | vocab[b]: i << 32 | vocab[a + b] for i, (a, b) in reversed(list(enumerate(pairs)))})
+        self._known: dict[str, bytes] = {}
         self._chars = 0
 
     @cached_property
     def _merges(self) -> dict[int, int]:
-        """Left id and right id in one integer -> rank and id of both together in one integer."""
-        model = json.loads(self._definition)["model"]
-        vocab = model["vocab"]
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        return {vocab[a] << 32 | vocab[b]: i << 32 | vocab[a + b] for i, (a, b) in reversed(list(enumerate(pairs)))}
-
-    @cached_property
-    def _pair(self) -> _Pairs:
-        return _Pairs(self._merges)
-
-    @cached_property
-    def _byte_ids(self) -> np.ndarray:
-        vocab = json.loads(self._definition)["model"]["vocab"]
-        return np.array([vocab[_byte_chars()[b]] for b in range(256)])
+        """The merges for words beyond ``SHORT``, which few texts have."""
+        there = self._pair.keys >= 0
+        return dict(zip(self._pair.keys[there].tolist(), self._pair.values[there].tolist()))
 
     @cached_property
     def _any(self):
@@ -254,8 +250,14 @@ class ByteBpe:
 
     def decode(self, ids) -> str:
         """The text of ``ids``; unknown ids are left out, broken UTF-8 becomes U+FFFD."""
-        get = self._bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        return self._joined(ids[(ids >= 0) & (ids < len(self._length))])[0].tobytes().decode("utf-8", "replace")
+
+    def _joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of known ids one after another, and where each id's end."""
+        length = self._length[ids]
+        after = np.cumsum(length)
+        return self._all[np.repeat(self._start[ids] - after + length, length) + np.arange(after[-1] if len(after) else 0)], after
 
     def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The texts of rows of ids; row i ends before ``ends[i + 1]``."""
@@ -264,9 +266,7 @@ class ByteBpe:
             to = max(row + 1, int(np.searchsorted(ends, ends[row] + (1 << 19), "right")) - 1)
             part = ids[ends[row] : ends[to]]
             part = part[(part >= 0) & (part < len(self._length))] if len(part) and (part.min() < 0 or part.max() >= len(self._length)) else part
-            length = self._length[part]
-            after = np.cumsum(length)
-            data = self._all[np.repeat(self._start[part] - after + length, length) + np.arange(after[-1] if len(after) else 0)]
+            data, after = self._joined(part)
             cut = np.concatenate([[0], after])[ends[row : to + 1] - ends[row]] if len(part) == ends[to] - ends[row] else None
             if cut is not None and self._whole(data, cut):
                 out.append(pa.StringArray.from_buffers(to - row, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(data)))
@@ -288,25 +288,9 @@ class ByteBpe:
         return True
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
-def _codec(definition) -> ByteBpe:
-    """One codec for each worker and vocabulary."""
-    if definition.id not in _LOADED:
-        _LOADED[definition.id] = ByteBpe(definition.value)
-    return _LOADED[definition.id]
-
-
-class _Shared:
-    def __init__(self, spark, path: str):
-        with open(path, encoding="utf-8") as f:
-            self._held = spark.sparkContext.broadcast(f.read())
-        self.id = uuid.uuid4().hex
-
-    @property
-    def value(self) -> str:
-        return self._held.value
+def _shared(spark: SparkSession, path: str) -> Broadcast[ByteBpe]:
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(ByteBpe(f.read()))
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -322,11 +306,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "ids")
     the driver and broadcast: its size does not depend on the data.
     """
     prepare_python(df.sparkSession)
-    held = _Shared(df.sparkSession, vocabulary)
+    held = _shared(df.sparkSession, vocabulary)
     schema = _with(df, to, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held)
+        codec = held.value
         for batch in batches:
             ids, ends = _ids(codec, batch.column(text).cast(pa.string()))
             yield _put(batch, to, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids))
@@ -337,11 +321,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", to: str = "ids")
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add ``to``, the text of the token ids; null ids decode to the empty text."""
     prepare_python(df.sparkSession)
-    held = _Shared(df.sparkSession, vocabulary)
+    held = _shared(df.sparkSession, vocabulary)
     schema = _with(df, to, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held)
+        codec = held.value
         for batch in batches:
             lists = batch.column(ids)
             lists = lists if not lists.null_count else pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
@@ -359,12 +343,12 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     worker of a task where the two in a row take two of each.
     """
     prepare_python(df.sparkSession)
-    held = _Shared(df.sparkSession, vocabulary)
+    held = _shared(df.sparkSession, vocabulary)
     rest = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
     schema = T.StructType([*rest, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(held)
+        codec = held.value
         for batch in batches:
             column = batch.column(text).cast(pa.string())
             for a, b in slices(column, 1 << 21):

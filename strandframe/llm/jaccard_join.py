@@ -30,7 +30,7 @@ needed; an error there moves a row too many and changes no result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,15 +163,20 @@ def _slots(keys: np.ndarray, power: int) -> np.ndarray:
     return (W.mix(keys.astype(np.int64).view(np.uint64), 3) >> np.uint64(64 - power)).astype(np.int64)
 
 
-def _map(keys: DataFrame, rows: int) -> _Map:
-    """The map of the only column of ``keys``, put together on the executors, with eight bits for each of ``rows``."""
+def _map(keys: DataFrame, rows: int, of: Callable[..., np.ndarray] | None = None) -> _Map:
+    """The map of what ``of`` makes of the columns of ``keys``, or of the only one.
+
+    It is put together on the executors, with eight bits for each of ``rows``.  Two
+    steps of Python in a row would take two workers a task, which stay when idle.
+    """
     power = int(np.clip(int(np.ceil(np.log2(max(rows, 1)))) + 3, *MAP_BITS))
     slices = 256
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << power - 3, np.uint8)
         for batch in batches:
-            at = _slots(np.asarray(batch.column(0)), power)
+            columns = [np.asarray(c).astype(np.int64) for c in batch.columns]
+            at = _slots(of(*columns) if of else columns[0], power)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         rows = [(k, pa.compress(x.tobytes(), "zstd", asbytes=True)) for k, x in enumerate(bits.reshape(slices, -1)) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "bits"])
@@ -293,10 +298,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5)
             d1, d2 = as_arrays(batch, 0)
             key = np.asarray(batch.column(2)).astype(np.int64)
             ids = np.where(twice.value.has(key), _named(d1, d2), key) if twice.value else key
-            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(ids), pa.array(_stands_for(key, d1))], names=["d1", "d2", "node", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(ids)], names=["d1", "d2", "node"])
 
-    named = nodes.mapInArrow(stand, "d1 long, d2 long, node long, mark long")
-    first_ones = spark.sparkContext.broadcast(_map(named.select("mark"), n_nodes))
+    named = nodes.mapInArrow(stand, "d1 long, d2 long, node long")
+    first_ones = spark.sparkContext.broadcast(_map(nodes.select("key", "d1"), n_nodes, _stands_for))
 
     # 2. prefixes under the first order, packed, of a document of each set
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

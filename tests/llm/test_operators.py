@@ -91,6 +91,25 @@ def test_bpe_equals_the_library(spark, docs):
     assert bpe.encode(again, path).columns == ["doc_id", "text", "ids"] and bpe.encode(again.limit(0), path).count() == 0
 
 
+def test_workers_keep_no_codec(spark, docs):
+    """Runs of one session share Python workers; a worker that goes on to other work has no codec any more."""
+    for _ in range(3):
+        queries.bpe_digests(docs, queries.bpe_vocabulary()).collect()
+
+    def held(batches):
+        import gc
+        import time
+
+        import pyarrow as pa
+
+        time.sleep(0.5)  # so that no worker takes all tasks
+        for _ in batches:
+            n = sum(isinstance(x, bpe.ByteBpe) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    assert {r.n for r in spark.range(16, numPartitions=16).mapInArrow(held, "n long").collect()} == {0}
+
+
 # -- 2: fingerprints
 
 
@@ -240,6 +259,19 @@ def test_maps_never_forget(spark):
     assert found.has(np.array(keys)).all() and found.has(np.arange(10**7, 10**7 + 20000)).mean() < 0.01
 
 
+def test_maps_take_one_worker_a_task(spark, docs, monkeypatch):
+    """What a map is made of comes from tables, not from another step of Python in the same task."""
+    plans, make = [], jaccard_join._map
+
+    def seen(keys, *more):
+        plans.append(keys._jdf.queryExecution().executedPlan().toString())
+        return make(keys, *more)
+
+    monkeypatch.setattr(jaccard_join, "_map", seen)
+    jaccard_join.near_duplicates(docs)
+    assert len(plans) > 2 and not any("InArrow" in p for p in plans)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 140)] + [(0, k) for k in range(1, 30)] + [tuple(sorted(rng.sample(range(200, 260), 2))) for _ in range(40)]
