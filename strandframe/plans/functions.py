@@ -14,6 +14,21 @@ _SCORES = "transform(filter(split(q, ''), c -> c <> ''), c -> ascii(c) - offset)
 _CUT = "filter(split(substring({}, 1, least(length(s), length(q))), ''), c -> c <> '')"
 _POSITIONS = "case when length(s) >= k then sequence(0, length(s) - k) else array() end"
 
+
+def _windows(clean: str, letters: str, other: str) -> str:
+    """Place, window and window of the other strand of the windows of bases; what is none is blanked, and strands are turned, once a sequence."""
+    strands = f"transform(array(translate(regexp_replace(s, '[^ACGTacgt]', ' '), 'ACGTacgt', '{clean}')), b -> struct(cast(b as binary) as f, cast(translate(reverse(b), '{letters}', '{other}') as binary) as t))"
+    return f"filter(flatten(transform({strands}, x -> transform({_POSITIONS}, p -> struct(p as p, substring(x.f, p + 1, k) as w, substring(x.t, length(s) - p - k + 1, k) as r)))), x -> not contains(x.w, X'20'))"
+
+
+def _turned(x: str) -> str:
+    """The 32 groups of two bits of a BIGINT in the other order."""
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = f"(shiftleft({x} & {mask}L, {shift}) | (shiftrightunsigned({x}, {shift}) & {mask}L))"
+    return x
+
+
+# Functions that return tables hold one generator, and the outer row is read within it only: else Spark joins their rows to the outer ones by sequence.
 FUNCTIONS = {
     "seq_normalize": f"(s string, iupac boolean) returns string return if(iupac, {_IUPAC}, {_STRICT})",
     "seq_complement": f"(s string) returns string return translate(s, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}')",
@@ -29,10 +44,10 @@ FUNCTIONS = {
     "mask_header_tabs": r"(id string) returns string return case when contains(id, '\t') then translate(id, '\t', '|') end",
     "phred_decode": f"(q string, offset int) returns array<int> return if(exists({_SCORES}, x -> x < 0), raise_error(concat('a Phred score is below the offset ', offset)), {_SCORES})",
     "seq_quality_mask": f"(s string, q string, score int) returns string return array_join(zip_with({_CUT.format('s')}, {_CUT.format('q')}, (b, x) -> if(ascii(x) < score, 'N', b)), '')",
-    "seq_kmers": f"(s string, k int) returns table (pos int, kmer string) return select p, substring(s, p + 1, k) from (select explode({_POSITIONS}) as p)",
-    "seq_canonical_kmers": f"(s string, k int) returns table (pos int, kmer string, was_rc boolean) return select p, least(w, r), not (w < r) from (select p, w, translate(reverse(w), '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}') as r from (select p, substring(s, p + 1, k) as w from (select explode({_POSITIONS}) as p)) where translate(w, 'ACGTacgt', '') = '')",
-    "bit_reverse_complement": "(code bigint, k int) returns bigint return cast(conv(translate(reverse(lpad(conv(cast(code as string), 10, 4), k, '0')), '0123', '3210'), 4, 10) as bigint)",
-    "seq_bit_kmers": f"(s string, k int) returns table (pos int, code bigint, was_rc boolean) return select p, cast(conv(least(w, r), 4, 10) as bigint), w > r from (select p, w, translate(reverse(w), '0123', '3210') as r from (select p, translate(substring(s, p + 1, k), 'ACGTacgt', '01230123') as w from (select explode({_POSITIONS}) as p)) where translate(w, '0123', '') = '')",
+    "seq_kmers": f"(s string, k int) returns table (pos int, kmer string) return select pos, kmer from inline(transform({_POSITIONS}, p -> struct(p as pos, substring(s, p + 1, k) as kmer)))",
+    "seq_canonical_kmers": f"(s string, k int) returns table (pos int, kmer string, was_rc boolean) return select p, cast(least(w, r) as string), not (w < r) from inline({_windows('ACGTacgt', 'ACGTacgt', 'TGCAtgca')})",
+    "bit_reverse_complement": f"(code bigint, k int) returns bigint return case when k between 1 and 31 then shiftrightunsigned({_turned('~code')}, 64 - 2 * k) end",
+    "seq_bit_kmers": f"(s string, k int) returns table (pos int, code bigint, was_rc boolean) return select p, cast(conv(cast(least(w, r) as string), 4, 10) as bigint), w > r from inline({_windows('01230123', '0123', '3210')})",
 }
 
 

@@ -56,3 +56,21 @@ def test_packed_kmers_and_masks_of_whole_reads(spark):
     for name, windows in (("bit_revcomp", 24), ("bit_to_bytes", 2), ("bit_minimizer", 26)):
         assert {r["count"] for r in QUERIES[name](spark, DATA).groupBy("id").count().collect()} == {windows}
     assert {(len(r.seq), len(r.short_seq), len(r.short_qual)) for r in QUERIES["quality_mask"](spark, DATA).collect()} == {(64, 50, 40)}
+
+
+def test_sql_names_join_nothing_to_their_rows(spark):
+    """Spark used to broadcast every k-mer, keyed by sequence, to join it to its row again."""
+    from strandframe.plans.functions import register
+
+    register(spark)
+    spark.createDataFrame([(1, "ACGTNacgt0AC"), (2, "AC"), (3, ""), (4, None), (5, "ACGTNacgt0AC")], "id long, seq string").createOrReplaceTempView("few_reads")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for f in ("seq_kmers", "seq_canonical_kmers", "seq_bit_kmers"):
+        df = spark.sql(f"select id, k.* from few_reads, lateral {f}(seq, 4) as k")
+        assert "Join" not in plan(df), f
+        found[f] = [tuple(r)[1:] for r in df.where("id = 5").orderBy("pos").collect()]
+        assert {r.id: r["count"] for r in df.groupBy("id").count().collect()} == {1: len(found[f]), 5: len(found[f])}
+    assert found["seq_kmers"] == [(p, "ACGTNacgt0AC"[p : p + 4]) for p in range(9)]
+    assert found["seq_canonical_kmers"] == [(0, "ACGT", True), (5, "acgt", True)]
+    assert found["seq_bit_kmers"] == [(0, 27, False), (5, 27, False)]
