@@ -74,3 +74,8 @@ def test_sql_names_join_nothing_to_their_rows(spark):
     assert found["seq_kmers"] == [(p, "ACGTNacgt0AC"[p : p + 4]) for p in range(9)]
     assert found["seq_canonical_kmers"] == [(0, "ACGT", True), (5, "acgt", True)]
     assert found["seq_bit_kmers"] == [(0, 27, False), (5, 27, False)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_sql_functions_broadcast_no_reads(spark):
+    assert "Broadcast" not in QUERIES["sql_functions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
