@@ -18,6 +18,7 @@ import bz2
 import lzma
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import numpy as np
@@ -33,6 +34,7 @@ BLOCK = 1 << 22  #: bytes of text cut at a time
 NL, CR, AT, PLUS, GT = 10, 13, 64, 43, 62
 
 PARTS = "path string, fmt string, windows boolean, record_idx long, l0 binary, l1 binary, l2 binary, l3 binary, n_lines int, nl boolean, last boolean, start_line long, start_byte long, fault string, message string"
+EXTENT = "path string, n_bytes long, n_lines long, n_records long, fasta boolean"
 SURVEY = "path string, start long, stop long, whole boolean, fmt string, windows boolean, n_lines long, n_records long, b0 long, b1 long, b2 long, b3 long"
 _NAMES = [f.split()[0] for f in PARTS.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.bool_(), pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -152,6 +154,29 @@ class Range:
         return data
 
 
+class Piped:
+    """Pieces of bytes, one after another, as a file that goes forward only."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.base, self.at = pieces, b"", 0, 0
+
+    def read_at(self, n: int, at: int) -> bytes:
+        parts, size, self.base = [self.held[at - self.base :]], len(self.held) - (at - self.base), at
+        while size < n and (piece := next(self.pieces, None)) is not None:
+            parts.append(piece)
+            size += len(piece)
+        self.held = b"".join(parts)
+        return self.held[:n]
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, n: int) -> bytes:
+        data = self.read_at(n, self.at)
+        self.at += len(data)
+        return data
+
+
 class Held:
     """Bytes that were read before, then the rest of a reader."""
 
@@ -442,6 +467,26 @@ def cut_text(path: str, text: bytes) -> Iterator[pa.RecordBatch]:
     yield from cut_whole(path, pa.BufferReader(text), "none")
 
 
+def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the text that the rows of a task make, read forward once; for mapInArrow of a binary column."""
+    pieces = (c.as_buffer().to_pybytes() for batch in batches for c in batch.column(0) if c.is_valid)
+    first = next(pieces, None)
+    if first is not None:  # a task without rows has no stream
+        from pyspark import TaskContext
+
+        yield from cut_whole(f"stream-{TaskContext.get().partitionId()}", Piped(chain([first], pieces)), "auto")
+
+
+def extent(path: str, start: int, stop: int) -> dict:
+    """Bytes, lines and records of FASTA that begin in a split of a plain file, and whether it is FASTA."""
+    with opened(path) as file:
+        codec, fmt, _, _, _ = looked_at(file, "auto")
+        if codec:
+            raise ValueError(f"files that are read as one text are plain ones, not {codec}: {path}")
+        n, records = _count_lines(file, start, stop)
+    return {"path": path, "n_bytes": stop - start, "n_lines": n, "n_records": records, "fasta": fmt == "fasta"}
+
+
 def tasks(of: Callable[[dict], Iterator[pa.RecordBatch]], most: int = BLOCK):
     """A function for mapInArrow of rows that are each cut by ``of``; small results leave together."""
 

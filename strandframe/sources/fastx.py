@@ -20,7 +20,7 @@ from __future__ import annotations
 import os
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import unquote
 
@@ -131,6 +131,27 @@ def _split_or_whole(compression: str):
     return cut
 
 
+def _extents(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [_cut.extent(r["path"], r["start"], r["stop"]) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(found, pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("n_bytes", "n_lines", "n_records")), ("fasta", pa.bool_())]))
+
+
+def _run_on(spark: SparkSession, records: DataFrame, paths: list[str], split: int) -> DataFrame:
+    """Records whose numbers and places run on from file to file, in the order of names."""
+    listed = spark.read.format("binaryFile").load(paths).dropDuplicates(["path"]).select("path", "length")
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long")))
+    splits = listed.select("path", "length", start.alias("start")).select("path", "start", F.least(F.col("start") + split, "length").alias("stop"))
+    n = max(1, min(listed.agg(F.sum(F.ceil(F.col("length") / split))).first()[0] or 0, MOST_TASKS))
+    sizes = splits.repartition(n).mapInArrow(_extents, _cut.EXTENT).groupBy("path").agg(F.sum("n_bytes").alias("__b"), F.sum("n_lines").alias("__l"), F.when(F.first("fasta"), F.sum("n_records")).otherwise(F.ceil(F.sum("n_lines") / 4)).alias("__r"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    places = sizes.select("path", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("__b", "__l", "__r")))
+    moved = {"record_idx": F.col("record_idx") + F.col("__r"), "start_line": F.col("start_line") + F.col("__l"), "start_byte": F.col("start_byte") + F.col("__b")}
+    return records.join(F.broadcast(places), "path").select(*(moved[c].alias(c) if c in moved else c for c in records.columns))
+
+
 def _surveys(compression: str):
     def run(batches):
         import pyarrow as pa
@@ -258,7 +279,7 @@ def _mode(mode: str) -> str:
     return mode
 
 
-def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", compression: str = "auto", positions: bool = True, keep_raw: bool = False, split: int | None = None) -> DataFrame:
+def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", compression: str = "auto", positions: bool = True, keep_raw: bool = False, split: int | None = None, joined: bool = False) -> DataFrame:
     """Records of FASTA and FASTQ files, plain or compressed, with the columns of ``RECORD``.
 
     ``mode`` is as for CSV: PERMISSIVE gives the records before a file's first error
@@ -267,14 +288,20 @@ def read_fastx(spark: SparkSession, path: str | list[str], mode: str = "PERMISSI
     compressed files for plain ones.  Without ``positions`` start_byte, and start_line
     of FASTA, are null.  ``keep_raw`` adds ``raw``, a record's bytes with all line ends
     but the last.  ``split`` is the number of bytes that a task reads of a plain file.
+    With ``joined`` the files are one text in the order of their names, as Spark writes a
+    large one in parts: places and record numbers run on.  It is for FAILFAST and plain
+    files of which each begins with a record.
     A path that does not exist raises, as with any Spark reader.
     """
     mode = _mode(mode)
+    if joined and (mode != "FAILFAST" or compression != "auto"):
+        raise ValueError("files are read as one text in mode FAILFAST only, and as they are")
     paths = [str(path)] if isinstance(path, str | os.PathLike) else [str(p) for p in path]
     parts, heads = _parts_of_files(spark, paths, compression, split or SPLIT)
     if mode == "FAILFAST" and (bad := heads.first()):
         raise FastxError(f"{bad['message']} (line 0): {bad['path']}")
-    return _records(parts, mode, positions, keep_raw)
+    found = _records(parts, mode, positions, keep_raw)
+    return _run_on(spark, found, paths, split or SPLIT) if joined else found
 
 
 def read_stdin(spark: SparkSession, spool: str, stream=None, **how) -> DataFrame:
@@ -293,6 +320,16 @@ def read_stdin(spark: SparkSession, spool: str, stream=None, **how) -> DataFrame
     return read_fastx(spark, spool, **how)
 
 
+def read_streams(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE", positions: bool = True) -> DataFrame:
+    """Records of the streams that the tasks of ``df`` are: the rows of a text or binary column, one after another.
+
+    Each is read as ``read_stdin`` reads its stream, forward and once, but by its task:
+    nothing goes through the driver.  A record may go over rows, not over tasks.
+    """
+    _find_package(df.sparkSession)
+    return _records(df.select(F.col(text).cast("binary")).mapInArrow(_cut.stream, _cut.PARTS), _mode(mode), positions)
+
+
 def _find_package(spark: SparkSession) -> None:
     """Python workers of a local session find this package where the driver does."""
     root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
@@ -319,3 +356,24 @@ def _text(row):
 def records(df: DataFrame) -> Iterator:
     """Rows one after another on the driver, in the order of each file; a FAILFAST frame raises at a bad record."""
     return df.orderBy("path", "record_idx").toLocalIterator()
+
+
+def fold(df: DataFrame, step: Callable, start: tuple, schema: str) -> DataFrame:
+    """What ``step(held, row)`` makes of the rows of a task, from ``start`` on, taken one after another: a row for each task that has any."""
+    _find_package(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql import Row
+
+        held, n = start, 0
+        for batch in batches:
+            row = Row(*batch.schema.names)
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                held = step(held, row(*values))
+            n += batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in held], names=names)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    return df.mapInArrow(run, schema)

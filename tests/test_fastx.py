@@ -248,3 +248,35 @@ def test_many_texts_and_repeated_keys(spark):
     assert found.where("path = 'a' and error is null").agg(F.count("*"), F.max("start_line"), F.max("record_idx")).first() == (n, 4 * n - 3, n - 1)
     assert sorted((r.path, r.record_idx, r.id) for r in found.where("path = 'b'").collect()) == [("b", 0, "x"), ("b", 0, "y"), ("b", 1, "z")]
     assert found.where("path is null").first().error.kind == "EmptyFile"
+
+
+def test_files_in_order_are_one_text(spark, tmp_path):
+    want, line, byte = [], 1, 0
+    for n in range(3):
+        text = "".join(f"@r{n}-{i}\nACGT\n+\nIIII\n" for i in range(n + 2))
+        (tmp_path / f"part-{n}.fastq").write_text(text)
+        for i in range(n + 2):
+            want.append((f"r{n}-{i}", len(want), line, byte))
+            line, byte = line + 4, byte + len(f"@r{n}-{i}\nACGT\n+\nIIII\n")
+    for split in (7, 1 << 20):
+        found = source.read_fastx(spark, tmp_path, mode="FAILFAST", joined=True, split=split).orderBy("record_idx")
+        assert [tuple(r) for r in found.select("id", "record_idx", "start_line", "start_byte").collect()] == want
+    seen = source.fold(found, lambda held, r: (held[0] + 1, held[1] + len(r.seq)), (0, 0), "n long, bases long").groupBy().sum().first()
+    assert tuple(seen) == (9, 36)
+    with pytest.raises(ValueError, match="FAILFAST"):
+        source.read_fastx(spark, tmp_path, joined=True)
+
+
+def test_fasta_files_in_order_are_one_text(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">a\nAC\nGT\n>b\nA\n")
+    (tmp_path / "b.fasta").write_text(">c\nACG\n>d\nT\nT\n")
+    found = source.read_fastx(spark, tmp_path, mode="FAILFAST", joined=True, split=5).orderBy("record_idx")
+    assert [tuple(r) for r in found.select("id", "record_idx", "start_line", "start_byte").collect()] == [("a", 0, 1, 0), ("b", 1, 4, 9), ("c", 2, 6, 14), ("d", 3, 8, 21)]
+
+
+def test_streams_of_tasks(spark):
+    rows = [(0, b"@a\nAC"), (0, b"GT\n+\nII"), (0, b"II\n@b\nA\n+\nI\n"), (1, b"@c\nT\n+\nII\n"), (2, gzip.compress(b">d\nAC\nG\n"))]
+    texts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "task int, text binary").repartitionByRange(3, "task").sortWithinPartitions("task")
+    found = source.read_streams(texts).collect()
+    assert sorted((r.id, r.seq) for r in found if r.error is None) == [("a", "ACGT"), ("b", "A"), ("d", "ACG")]
+    assert [r.error.kind for r in found if r.error] == ["UnequalLengths"]
