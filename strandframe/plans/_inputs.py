@@ -26,10 +26,14 @@ def _dealt(keys: DataFrame) -> DataFrame:
     return keys.repartition(cores) if keys._jdf.queryExecution().toRdd().getNumPartitions() < cores else keys
 
 
-def reads(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
-    """id, name, seq (64 bases), qual, messy (32 characters), o_orderpriority of each order; ``ordered`` by id while they are narrow."""
+def count_of(spark: SparkSession, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def reads(spark: SparkSession, sf_dir: str, ordered: bool = False, parts: int | None = None) -> DataFrame:
+    """id, name, seq (64 bases), qual, messy (32 characters), o_orderpriority of each order; ``ordered`` by id or dealt to ``parts`` while they are narrow."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority")
-    o = o.orderBy("o_orderkey") if ordered else _dealt(o)
+    o = o.orderBy("o_orderkey") if ordered else o.repartition(parts) if parts else _dealt(o)
     return o.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("read"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "").when(F.col("o_orderkey") % 3 == 1, " ").otherwise("\t"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))).alias("name"),

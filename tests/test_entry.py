@@ -79,3 +79,16 @@ def test_sql_names_join_nothing_to_their_rows(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_sql_functions_broadcast_no_reads(spark):
     assert "Broadcast" not in QUERIES["sql_functions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["codec_gz_truncated", "codec_bz2_truncated", "codec_xz_truncated"])
+def test_truncated_files_are_of_bounded_size(spark, monkeypatch, name):
+    from strandframe.plans import queries
+
+    packed, read = [], queries.source.read_fastx
+    monkeypatch.setattr(queries, "READS_A_FILE", 200, raising=False)
+    monkeypatch.setattr(queries.source, "read_fastx", lambda s, path, **how: packed.append(path) or read(s, path, **how))
+    rows = QUERIES[name](spark, DATA).collect()
+    assert len(os.listdir(packed[0])) >= 8  # 1500 reads, 200 a file
+    assert sum(r.kind == "Io" for r in rows) == 3 and len({r.id for r in rows if r.kind is None}) == 1500 and len(rows) == 1503
