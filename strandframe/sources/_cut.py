@@ -467,6 +467,57 @@ def cut_text(path: str, text: bytes) -> Iterator[pa.RecordBatch]:
     yield from cut_whole(path, pa.BufferReader(text), "none")
 
 
+def _small_parts(path: str, text: bytes) -> Iterator[tuple]:
+    """Rows of ``PARTS`` of a text at hand, as ``cut_text`` gives them, without an array for each."""
+    if len(text) < 2:
+        yield path, None, False, 0, None, None, None, None, 0, True, False, None, None, "EmptyFile", EMPTY
+        return
+    cut = text.find(b"\n")
+    windows = cut > 0 and text[cut - 1] == CR
+    if text[0] == GT:
+        pieces, line, at = text[1:].split(b"\n>"), 1, 0
+        for i, piece in enumerate(pieces):
+            yield path, "fasta", windows, i, piece, None, None, None, 1, True, i == len(pieces) - 1, line, at, None, None
+            line, at = line + piece.count(b"\n") + 1, at + len(piece) + 2
+        return
+    if text[0] != AT:
+        yield path, "fastq", False, 0, None, None, None, None, 0, True, False, None, None, "UnknownFormat", UNKNOWN.format(escaped(text[0]))
+        return
+    lines, nl, at = text.split(b"\n"), text[-1] == NL, 0
+    if nl:
+        lines.pop()
+    full = len(lines) // 4
+    for i in range(full):
+        l0, l1, l2, l3 = lines[4 * i : 4 * i + 4]
+        yield path, "fastq", windows, i, l0, l1, l2, l3, 4, True, False, 4 * i + 1, at, None, None
+        if l0[:1] != b"@" or l2[:1] != b"+" or len(l1) - l1.endswith(b"\r") != len(l3) - l3.endswith(b"\r"):
+            return
+        at += len(l0) + len(l1) + len(l2) + len(l3) + 4
+    if rest := lines[4 * full :]:
+        yield path, "fastq", windows, full, *rest, *[None] * (4 - len(rest)), len(rest), nl, True, 4 * full + 1, at, None, None
+
+
+def texts(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Parts of the texts of rows (path, text), for mapInArrow; parts of small texts share a batch."""
+    held, size = [], 0
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _TYPES)], names=_NAMES)
+
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if len(text) <= most:
+                held.extend(_small_parts(path, text))
+                size += len(text)
+            if held and (size >= most or len(held) >= 10_000 or len(text) > most):
+                yield made()
+                held, size = [], 0
+            if len(text) > most:
+                yield from cut_text(path, text)
+    if held:
+        yield made()
+
+
 def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of the text that the rows of a task make, read forward once; for mapInArrow of a binary column."""
     pieces = (c.as_buffer().to_pybytes() for batch in batches for c in batch.column(0) if c.is_valid)

@@ -346,11 +346,7 @@ def parse_strings(df: DataFrame, text: str = "text", mode: str = "PERMISSIVE", k
     mode = _mode(mode)
     _find_package(df.sparkSession)
     texts = df.select(F.col(key).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return _records(texts.mapInArrow(_cut.tasks(_text), _cut.PARTS), mode, keep_raw=keep_raw).select(*RECORD.names, *(["raw"] if keep_raw else []))
-
-
-def _text(row):
-    yield from _cut.cut_text(row["path"], row["text"])
+    return _records(texts.mapInArrow(_cut.texts, _cut.PARTS), mode, keep_raw=keep_raw).select(*RECORD.names, *(["raw"] if keep_raw else []))
 
 
 def records(df: DataFrame) -> Iterator:

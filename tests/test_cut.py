@@ -156,3 +156,21 @@ def test_file_systems_that_arrow_does_not_open(spark, tmp_path, monkeypatch):
     want = source.read_fastx(spark, str(tmp_path)).orderBy("path", "record_idx").collect()
     monkeypatch.setattr(source, "_opens", lambda path: False)
     assert source.read_fastx(spark, str(tmp_path)).orderBy("path", "record_idx").collect() == want and len(want) == 4
+
+
+def test_small_texts_share_batches_and_agree_with_those_cut_alone():
+    import random
+
+    import pyarrow as pa
+
+    from strandframe.sources import _cut
+
+    r = random.Random(7)
+    pieces = [b"@a\n", b"@a\r\n", b">b\n", b">", b"@", b"+\n", b"+", b"\n", b"\r\n", b"\r", b"ACGT\n", b"ACGT\r\n", b"IIII", b"IIII\n", b"@a\nAC\n+\nII\n", b"@a\r\nAC\r\n+\r\nII\r\n", b">c d\nAC\nGT\n"]
+    texts = [b"", b">", b"@", b"x", b"xy", b"'y", b"\n\n"] + [b"".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    given = pa.record_batch([pa.array([str(i) for i in range(len(texts))]), pa.array(texts, pa.binary())], names=["path", "text"])
+    alone = [row for i, t in enumerate(texts) for b in _cut.cut_text(str(i), t) for row in b.to_pylist()]
+    together = list(_cut.texts(iter([given])))
+    assert [row for b in together for row in b.to_pylist()] == alone
+    assert len(together) < 10
+    assert [row for b in _cut.texts(iter([given]), most=20) for row in b.to_pylist()] == alone
